@@ -58,7 +58,7 @@ def orphans(refs: DataFrame, parent: DataFrame) -> DataFrame:
     wanted = refs.groupBy("target").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     known = parent.select("target", "since", "until")
     judged = wanted.join(known, "target", "left_anti").select(
-        "target", F.lit(True).alias("missing"), F.lit(None).cast("timestamp_ntz").cast(known.schema["since"].dataType).alias("since"),
+        "target", F.lit(True).alias("missing"), F.lit(None).cast(known.schema["since"].dataType).alias("since"),
         F.lit(None).cast(known.schema["until"].dataType).alias("until"),
     ).unionByName(
         wanted.join(known, "target", "inner")

@@ -1 +1 @@
-"""plans."""
+"""Ready queries over the test tables, each with its SQL where SQL can express it."""
