@@ -63,10 +63,10 @@ QUERIES = {q.__name__: q for q in (p3_found, p3_report, p4_found, p4_hierarchy,
 _ORPHANS = """
 WITH p AS (SELECT id, min(recorded_at) AS since, CASE WHEN count(*) = count(removed_at) THEN max(removed_at) END AS until
            FROM (SELECT id, recorded_at, removed_at FROM nodes UNION ALL SELECT id, recorded_at, removed_at FROM shared_nodes) GROUP BY id),
-r AS (SELECT DISTINCT 'edges' AS ref_table, id AS ref_key, 'from_id' AS ref_field, from_id AS target, recorded_at AS at FROM edges WHERE from_id IS NOT NULL
+r AS (SELECT DISTINCT 'edges' AS ref_table, id AS ref_key, 'from_id' AS ref_field, from_id AS target, recorded_at AS ts FROM edges WHERE from_id IS NOT NULL
       UNION SELECT 'edges', id, 'to_id', to_id, recorded_at FROM edges WHERE to_id IS NOT NULL
       UNION SELECT 'explanations', cache_key, 'node_id', node_id, created_at FROM explanations WHERE node_id IS NOT NULL),
-f AS (SELECT r.*, CASE WHEN p.id IS NULL THEN 'missing' WHEN p.since > r.at THEN 'later' WHEN p.until <= r.at THEN 'removed' END AS reason
+f AS (SELECT r.*, CASE WHEN p.id IS NULL THEN 'missing' WHEN p.since > r.ts THEN 'later' WHEN p.until <= r.ts THEN 'removed' END AS reason
       FROM r LEFT JOIN p ON r.target = p.id)
 """
 
@@ -82,10 +82,10 @@ c AS (SELECT path[i] AS ancestor_id, node_id, depth - i + 1 AS distance FROM (SE
 
 SQL = {
     "p3_found": _ORPHANS + "SELECT ref_table, ref_key, ref_field FROM f WHERE reason IS NOT NULL",
-    "p3_report": _ORPHANS + """SELECT ref_table, ref_field, strftime(at, '%Y-%m') AS month, reason, count(*) AS orphans, any_value(n) AS n_references
-        FROM f JOIN (SELECT ref_table AS rt, ref_field AS rf, strftime(at, '%Y-%m') AS m, count(*) AS n FROM f GROUP BY ALL)
-        ON ref_table = rt AND ref_field = rf AND strftime(at, '%Y-%m') IS NOT DISTINCT FROM m
-        WHERE reason IS NOT NULL GROUP BY ref_table, ref_field, strftime(at, '%Y-%m'), reason""",
+    "p3_report": _ORPHANS + """SELECT ref_table, ref_field, strftime(ts, '%Y-%m') AS month, reason, count(*) AS orphans, any_value(n) AS n_references
+        FROM f JOIN (SELECT ref_table AS rt, ref_field AS rf, strftime(ts, '%Y-%m') AS m, count(*) AS n FROM f GROUP BY ALL)
+        ON ref_table = rt AND ref_field = rf AND strftime(ts, '%Y-%m') IS NOT DISTINCT FROM m
+        WHERE reason IS NOT NULL GROUP BY ref_table, ref_field, strftime(ts, '%Y-%m'), reason""",
     "p4_found": _FOREST + "SELECT node_id, coalesce(root_id, 'cycle') AS root_id, depth FROM a WHERE depth >= 12 OR depth = -1",
     "p4_hierarchy": _FOREST + """SELECT a.node_id, root_id, depth, array_to_string(path, ' > ') AS path,
         CASE WHEN root_id IS NOT NULL THEN coalesce(k, 0) END AS n_descendants
