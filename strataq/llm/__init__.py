@@ -3,4 +3,6 @@
 
 def modules() -> list:
     """The modules with QUERIES and SQL."""
-    return []
+    from strataq.llm import queries_tokens
+
+    return [queries_tokens]
