@@ -3,6 +3,6 @@
 
 def modules() -> list:
     """The modules with QUERIES and SQL."""
-    from strataq.llm import queries_leaks, queries_tokens
+    from strataq.llm import queries_leaks, queries_sentences, queries_tokens
 
-    return [queries_tokens, queries_leaks]
+    return [queries_tokens, queries_leaks, queries_sentences]
