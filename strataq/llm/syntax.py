@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import sys
 import warnings
 from collections.abc import Iterator
 
@@ -25,6 +26,10 @@ EXTENSIONS = {
 }
 
 
+#: Nested calls that a derivative may take, some four for each open bracket.
+DEPTH = 200_000
+
+
 def language_of(name: Column, path: Column) -> Column:
     """The language by its name, however spelt, else by the extension of the path; null if neither is known."""
     table = lambda d: F.create_map(*(F.lit(x) for kv in d.items() for x in kv))
@@ -36,6 +41,8 @@ def fault(content: str, language: str) -> tuple[str, int, str] | None:
 
     The kind is ``token`` (the first token that cannot stand there) or ``truncated`` (the text ends too early).
     """
+    if sys.getrecursionlimit() < DEPTH:
+        sys.setrecursionlimit(DEPTH)  # brackets nest as deep as the derivatives of their languages
     found = tokens(content, language)
     failure = grammar(language).check([(t.kind, t.new_line) for t in found], ";" if language in ("javascript", "typescript") else None)
     if failure is None:
