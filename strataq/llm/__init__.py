@@ -3,6 +3,6 @@
 
 def modules() -> list:
     """The modules with QUERIES and SQL."""
-    from strataq.llm import queries_leaks, queries_sentences, queries_syntax, queries_tokens
+    from strataq.llm import queries_functions, queries_leaks, queries_sentences, queries_syntax, queries_tokens
 
-    return [queries_tokens, queries_leaks, queries_sentences, queries_syntax]
+    return [queries_tokens, queries_functions, queries_leaks, queries_sentences, queries_syntax, queries_functions]
