@@ -79,3 +79,12 @@ def sized_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     if size <= limit:
         return left.join(F.broadcast(right), key, how)
     return salted_join(left, right, key, how)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan whose rows are dear to work on, over all cores if its files make far fewer partitions than there are.
+
+    Only an input that is small for the cluster is moved; one that fills the cores stays where it is read.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() * 4 <= cores else scan
