@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataq.operators.scale import cut, spread
+
 #: Texts that the model is fitted on, at most, and the characters of each.
-SAMPLE_TEXTS, SAMPLE_CHARS = 20_000, 20_000
+SAMPLE_TEXTS, SAMPLE_CHARS = 10_000, 20_000
 #: Calibrated probability from which a candidate is a credential.
 THRESHOLD = 0.5
 _DIM = 1 << 20
@@ -333,16 +335,27 @@ def fit(texts: DataFrame) -> Model:
     sample = (
         texts.filter(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
         .select("field", F.coalesce("path", F.lit("")).alias("path"), "text", F.xxhash64("text", "field").alias("h"))
-        .dropDuplicates(["field", "text"]).orderBy("h", "field", "text").limit(SAMPLE_TEXTS).collect()
+        .dropDuplicates(["field", "text"]).orderBy("h", "field", "text").limit(SAMPLE_TEXTS)
     )
-    labelled = [(c, r.path, y, r.h) for r in sample for c in candidates(r.text, r.field) if (y := weak_label(c)) is not None and not c.certain]
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for field, path, text, h in zip(*(c.to_pylist() for c in b.columns)):
+                rows += [(h, c.start, c.end, path, c.name, c.kind, c.value, y) for c in candidates(text, field) if not c.certain and (y := weak_label(c)) is not None]
+            columns = list(zip(*rows)) if rows else [[]] * 8
+            kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 4, pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["h", "s", "e", "path", "name", "kind", "value", "y"])
+
+    rows = cut(sample).repartition(texts.sparkSession.sparkContext.defaultParallelism).mapInArrow(label, "h bigint, s int, e int, path string, name string, kind string, value string, y boolean").collect()
+    labelled = [(Candidate(r.s, r.e, r.name, r.kind, r.value), r.path, r.y, r.h) for r in sorted(rows)]
     train = [x for x in labelled if x[3] % 5]
     held = [x for x in labelled if not x[3] % 5]
     chains = (_chain([c.value for c, _, y, _ in train if y]), _chain([c.value for c, _, y, _ in train if not y]))
     rows = [[_slot(f) for f in features(c, p, chains)] for c, p, _, _ in train]
     from strataq.llm.sentences import _logistic
 
-    weights = _logistic(rows, [float(y) for _, _, y, _ in train], rounds=200, dim=_DIM, balanced=False)
+    weights = _logistic(rows, [float(y) for _, _, y, _ in train], rounds=120, dim=_DIM, balanced=False)
     scores = np.array([sum(weights.get(_slot(f), 0.0) for f in features(c, p, chains)) for c, p, _, _ in held])
     return Model(chains, weights, _platt(scores, np.array([float(y) for _, _, y, _ in held])))
 
@@ -409,7 +422,7 @@ def found(texts: DataFrame, model: Model | None = None) -> DataFrame:
             kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["field", "row_id", "start_pos", "end_pos", "probability"])
 
-    some = texts.select("field", F.col("row_id").cast("bigint"), "path", "text").filter(F.length("text") > 0)
+    some = spread(texts.select("field", F.col("row_id").cast("bigint"), "path", "text").filter(F.length("text") > 0))
     return some.mapInArrow(run, "field string, row_id bigint, start_pos int, end_pos int, probability double").distinct()
 
 
@@ -426,5 +439,5 @@ def redacted(texts: DataFrame, model: Model | None = None) -> DataFrame:
                 out.append(mask(text, spans))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(numbers, pa.int32()), pa.array(out, pa.string())], ["field", "row_id", "n_masked", "text"])
 
-    some = texts.select("field", F.col("row_id").cast("bigint"), "path", "text").filter(F.col("text").isNotNull())
+    some = spread(texts.select("field", F.col("row_id").cast("bigint"), "path", "text").filter(F.col("text").isNotNull()))
     return some.mapInArrow(run, "field string, row_id bigint, n_masked int, text string").distinct()
