@@ -247,6 +247,8 @@ def weak_label(c: Candidate) -> bool | None:
         return False
     if " " in c.value.strip() or re.fullmatch(r"[A-Za-z]+|\d+|[a-z]+[._/][a-z._/]+", c.value):
         return False
+    if c.kind in ("url", "flag", "login") and len(c.value) >= 6 and re.search(r"[a-z]", c.value) and re.search(r"[A-Z]", c.value[1:]):
+        return True
     if len(c.value) >= 6 and re.search(r"\d", c.value) and re.search(r"[A-Za-z]", c.value):
         return True
     if len(c.value) >= 8 and re.search(r"[a-z]", c.value) and re.search(r"[A-Z]", c.value[1:]) and re.search(r"[^\w\s]", c.value):
