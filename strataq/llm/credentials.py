@@ -29,6 +29,7 @@ THRESHOLD = 0.5
 _DIM = 1 << 20
 
 # Formats of keys whose issuer marks them, words in names of secrets and of other things, stand-ins.
+# A value that begins with a slash is a path only below a known root or where all its parts are words.
 _ISSUED = re.compile(
     r"(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,}|whsec_[A-Za-z0-9+/=]{16,}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|xox[abprs]-[A-Za-z0-9-]{16,}|AKIA[0-9A-Z]{16}|AIza[\w-]{30,}|glpat-[\w-]{16,}|npm_[A-Za-z0-9]{30,}"
     r"|AGE-[A-Z0-9-]{20,}|SG\.[\w-]{16,}\.[\w-]{16,}|eyJ[\w-]{8,}\.eyJ[\w-]{4,}\.[\w-]{8,}|[a-z]{3}-[a-z0-9]{28,}"
@@ -41,7 +42,7 @@ _OTHER_NAME = re.compile(
 _STAND_IN = re.compile(
     r"""(?ix)^(?:
       \s* | [x*.\-_#?•]{3,} | (?:\w{2,6}_(?:live|test)_)?x{4,} | \*+ | .*\bx{6,}\b.* | .*\*{4,}.* | <[^<>]*> | \[[^\[\]]*\] | \{\{.*\}\} | \$\{.*\} | \$\(.*\) | \$\w+ | %\w+% | \#\{.*\}\#? | @\{?\w+\}? | __\w+__ | \#\w+\#
-      | @\w+\(.*\) | (?:env|vault|file|ref|kv|secret|ssm|op|gcp|aws|azure|keyvault|arn|sops)\s*:.* | \w+://\S*(?:vault|secret|value)\S* | (?:kv|secrets?|run|etc|vault)/.* | /[\w./-]+ | [A-Za-z]:\\.* | \.{1,2}/.*
+      | @\w+\(.*\) | (?:env|vault|file|ref|kv|secret|ssm|op|gcp|aws|azure|keyvault|arn|sops)\s*:.* | \w+://\S*(?:vault|secret|value)\S* | (?:kv|secrets?|run|etc|vault)/.* | (?-i:/(?:run|etc|var|usr|opt|home|root|mnt|tmp|srv|app|data|secrets?|vault)(?:/[\w./-]*)?|(?:/(?:(?:[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})*|[a-z]|[A-Z]+)?\d{0,4}(?:[_.-]+(?:[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})*|[a-z]|[A-Z]+)?\d{0,4})*))+) | [A-Za-z]:\\.* | \.{1,2}/.*
       | (?:change|replace|insert|enter|add|put|fill|set|update|type|paste)[\s_-]*(?:me|this|it|in|here|your|a|the|key|value|secret|password)?(?:[\s_-].*)? | your[\s_-].* | my[\s_-]?(?:secret|password|token|key) | todo.* | tbd | fixme | none | null | nil | undefined | n/a | dummy.* | example.* | sample.* | placeholder.*
       | (?:the[\s_-])?(?:secret|password|passwd|token|api[\s_-]?key|key|value)(?:[\s_-]?(?:here|goes[\s_-]here))? | to[\s_-]be[\s_-].* | redacted | masked | hidden | removed | empty | secret | true | false | yes | no | on | off
       | bearer | basic | authorization | .*\b(?:process\.env|os\.environ|getenv|config(?:uration)?\[|env::var)\b.*

@@ -79,3 +79,14 @@ def test_tables(spark, model):
 def test_empty_corpus(spark):
     empty = spark.createDataFrame([], "field string, row_id bigint, path string, text string")
     assert C.found(empty).count() == 0
+
+
+@pytest.mark.parametrize("value", ["/b2uOT6xB82Xd2y2cHa8CGY0DwkyiXn3ImkHqQDr8SM2V1shA/gCXUvWOPA3OKIf", "/k1ICzOt1rOt68dh"])
+def test_value_that_begins_with_a_slash(model, value):
+    text = f'opts.authToken = "{value}";'
+    assert [(s, e) for s, e, _ in C.credentials_in(text, "secret", "app/config.py", model)] == [(18, 18 + len(value))]
+
+
+@pytest.mark.parametrize("value", ["/run/secrets/pebble", "/etc/ssl/Key9aB.pem", "/v1/userTokens/list", "/srv2/certs/shop-key_2.pem", "/API/auth.json"])
+def test_path_is_no_credential(model, value):
+    assert C._STAND_IN.match(value) and not C.credentials_in(f'opts.authToken = "{value}";', "secret", "app/config.py", model)
