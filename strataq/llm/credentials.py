@@ -53,6 +53,7 @@ _OTHER_FORM = re.compile(r"(?i)^(?:pk_(?:live|test)_\w+|acct_\w+|sha\d+[-:].*|da
 _PRIVATE = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 _PUBLIC = re.compile(r"-----BEGIN [A-Z0-9 ]*(?:PUBLIC KEY|CERTIFICATE|CERTIFICATE REQUEST)-----[\s\S]*?(?:-----END [A-Z0-9 ]*-----|\Z)")
 _USERINFO = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://([^\s/@:\"'`]*):([^\s\"'`/]+)@(?=[\w\[])")
+_ADDRESS = re.compile(r"://[^\s\"'`]*")  # of any length, up to what breaks it
 _QUERY = re.compile(r"[?&]([A-Za-z_][\w.\-]*)=([^&\s\"'`;<>]+)")
 _PAIR = re.compile(r"(?:(?<=^)|(?<=[;,\"'`?&\s]))\s*([A-Za-z][\w .\-]*?)\s*=\s*(\"(?:[^\"\n]|\"\")*\"|'[^'\n]*'|[^;,\"'`\n]*)(?=[;,\"'`\n]|$)")
 _QUOTED = re.compile(r"@?\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`]*)`")
@@ -119,8 +120,12 @@ def candidates(text: str, field: str) -> list[Candidate]:
     for m in _SIGN_IN.finditer(text):
         add(*m.span(3), "password", "login")
         closed.append(m.span(3))
+    addresses = _ADDRESS.finditer(text)
+    address = next(addresses, None)
     for m in _QUERY.finditer(text):
-        if "://" in text[max(0, m.start() - 200) : m.start()].rsplit("\n", 1)[-1]:
+        while address and address.end() <= m.start():
+            address = next(addresses, None)
+        if address and address.start() < m.start() or "://" in text[max(0, m.start() - 200) : m.start()].rsplit("\n", 1)[-1]:
             add(*m.span(2), m[1], "query")
     notes = list(_COMMENT.finditer(text)) if field == "secret" else []
     for m in _SCHEME.finditer(text):
@@ -295,7 +300,7 @@ def _chain(values: list[str]) -> dict[str, float]:
     first: dict[str, float] = defaultdict(float)
     for v in values:
         prev = "^"
-        for ch in v[:80] + "$":
+        for ch in v + "$":
             pair[prev + _class(ch)] += 1
             first[prev] += 1
             prev = _class(ch)
@@ -306,7 +311,7 @@ def _chain(values: list[str]) -> dict[str, float]:
 
 def _likelihood(value: str, chain: dict[str, float]) -> float:
     prev, total, floor = "^", 0.0, chain[""]
-    v = value[:80] + "$"
+    v = value + "$"
     for ch in v:
         ch = _class(ch)
         total += chain.get(prev + ch, floor)

@@ -90,3 +90,14 @@ def test_value_that_begins_with_a_slash(model, value):
 @pytest.mark.parametrize("value", ["/run/secrets/pebble", "/etc/ssl/Key9aB.pem", "/v1/userTokens/list", "/srv2/certs/shop-key_2.pem", "/API/auth.json"])
 def test_path_is_no_credential(model, value):
     assert C._STAND_IN.match(value) and not C.credentials_in(f'opts.authToken = "{value}";', "secret", "app/config.py", model)
+
+
+def test_secret_of_a_long_address(model):
+    head = 'feed = "https://pebble.example/' + "in/" * 120 + "x?n=5&sig="
+    text = head + '0YnFvRc04KCz8&m=2"'
+    assert [(s, e) for s, e, _ in C.credentials_in(text, "secret", "app/config.py", model)] == [(len(head), len(head) + 13)]
+
+
+def test_likelihood_of_the_whole_value():
+    chain = C._chain(["ab" * 60])
+    assert C._likelihood("ab" * 40 + "zq" * 40, chain) < C._likelihood("ab" * 80, chain)
