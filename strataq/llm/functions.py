@@ -243,25 +243,27 @@ def functions_in(content: str, language: str) -> list[tuple[str, int, int]]:
     return sorted(set(out), key=lambda x: (x[1], x[2]))
 
 
-def pairs(functions: DataFrame, extracts: DataFrame) -> DataFrame:
+def pairs(functions: DataFrame, extracts: DataFrame, without_code: bool = False) -> DataFrame:
     """node_id, language, description, code, whole, n_same: described functions with their code.
 
     ``functions`` has id, name, path, language, start_line, end_line and summary, ``extracts`` path and content. The code
     are the lines of the node; ``whole`` tells whether a whole function begins on its first line and ends by its last, which
     also holds for functions in files that do not parse. Functions of a file travel together, so each content is moved
-    once. Without content, or where the lines lie outside, there is no pair. Of several contents of a path the
-    largest counts.
+    once. Without content, or where the lines lie outside, there is no pair; with ``without_code`` there is a row with null
+    code. Of several contents of a path the largest counts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for content, wanted in zip(b.column("content").to_pylist(), b.column("wanted").to_pylist()):
-                lines = content.removeprefix("﻿").replace("\r\n", "\n").split("\n")
+                lines = [] if content is None else content.removeprefix("﻿").replace("\r\n", "\n").split("\n")
                 spans: dict[str, set] = {}
                 for w in wanted:
                     first, last, language = w["start_line"], w["end_line"], w["lang"]
                     if first is None or first < 1 or first > len(lines):
+                        if without_code:
+                            rows.append((w["id"], language, w["summary"], None, False, w["n_same"]))
                         continue
                     if language not in spans:
                         spans[language] = set(functions_in(content, language)) if language else set()
@@ -277,7 +279,12 @@ def pairs(functions: DataFrame, extracts: DataFrame) -> DataFrame:
     named = rows.join(good.select(F.col("node_id").alias("id"), F.col("n_same").cast("bigint")), "id")
     per_file = named.filter(F.col("path").isNotNull()).groupBy("path").agg(F.collect_list(F.struct("id", "lang", "start_line", "end_line", "summary", "n_same")).alias("wanted"))
     texts = extracts.filter(F.col("content").isNotNull()).groupBy("path").agg(F.max("content").alias("content"))
-    return per_file.join(texts, "path").select("content", "wanted").mapInArrow(run, "node_id string, language string, description string, code string, whole boolean, n_same bigint")
+    schema = "node_id string, language string, description string, code string, whole boolean, n_same bigint"
+    found = per_file.join(texts, "path", "left" if without_code else "inner").select("content", "wanted").mapInArrow(run, schema)
+    if not without_code:
+        return found
+    no_file = named.filter(F.col("path").isNull())
+    return found.unionByName(no_file.select(F.col("id").alias("node_id"), F.col("lang").alias("language"), F.col("summary").alias("description"), F.lit(None).cast("string").alias("code"), F.lit(False).alias("whole"), "n_same"))
 
 
 def whole_functions(files: DataFrame) -> DataFrame:

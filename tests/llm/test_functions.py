@@ -88,3 +88,27 @@ def test_pairs(spark):
     assert FN.pairs(f, e.limit(0)).count() == 0
     files = spark.createDataFrame([(1, PY, "python"), (1, PY, "python"), (2, None, "go"), (None, "fn f() {}", "rust"), (3, "x", None)], "extract_id bigint, content string, language string")
     assert FN.whole_functions(files).count() == 6
+
+
+def test_pairs_without_code(spark):
+    f = spark.createDataFrame(
+        [("a", "a", "p.py", "Python", 4, 7, "Adds both halves up."), ("x", "x", "gone.py", None, 1, 2, "Waits for it."), ("y", "y", "p.py", None, 500, 501, "Lies outside."), ("z", "z", None, None, None, None, "Has no file."), ("w", "w", "p.py", None, None, 3, "Has no line."),
+         ("t", "t", "p.py", "Python", 4, 7, "TODO")],
+        "id string, name string, path string, language string, start_line int, end_line int, summary string",
+    )
+    e = spark.createDataFrame([("p.py", PY), ("q.py", None)], "path string, content string")
+    got = {r.node_id: (r.code is not None, r.whole) for r in FN.pairs(f, e, without_code=True).collect()}
+    assert got == {"a": (True, True), "x": (False, False), "y": (False, False), "z": (False, False), "w": (False, False)}
+
+
+def test_p5_found_parses_the_files(spark, monkeypatch):
+    from strataq.llm import queries_functions as Q
+
+    f = spark.createDataFrame(
+        [("a", "function", "a", "p.py", "Python", 4, 7, "Adds both halves up.", "docs"), ("z", "function", "z", None, None, None, None, "Has no file.", "docs")],
+        "id string, kind string, name string, path string, language string, start_line int, end_line int, summary string, summary_source string",
+    )
+    e = spark.createDataFrame([("p.py", PY)], "path string, content string")
+    read = []
+    monkeypatch.setattr(Q, "table", lambda s, d, name, *columns: (read.append(name), {"nodes": f, "extracts": e}[name].select(*columns))[1])
+    assert {r.node_id for r in Q.p5_found(spark, "").collect()} == {"a", "z"} and "extracts" in read
