@@ -15,8 +15,8 @@ from strataq.llm.lexers import Token, tokens
 from strataq.llm.syntax import language_of
 from strataq.operators.scale import cut, sized_join
 
-#: A text that so many functions share is a template, and says nothing if it has fewer words of its own than WORDS.
-REPEATED, WORDS = 20, 2
+#: A text that so many functions share is called a template; a verdict depends on words alone, so it is alike at every size.
+REPEATED = 20
 
 # What fills descriptions, and what stands in for them.
 _FILL = frozenset(
@@ -29,6 +29,8 @@ _PLACEHOLDER = frozenset(
     " documentation docs doc describe description add write fill insert needs need me please generated auto automatically autogenerated method function comment comments text lorem ipsum"
     " noch zu dokumentieren dokumentation fehlt folgt à documenter compléter por documentar pendiente sin descripción описание отсутствует документировать the this a of in to be is it be".split()
 )
+#: Words that say nothing where a description has no other of its own.
+_VAGUE = frozenset("whatever something anything everything nothing stuff thing things misc miscellaneous various etc obvious above below same ditto foo bar baz blah ok yes utils helpers".split())
 _PLACEHOLDER_HAN = re.compile(r"(?:待补充|待完善|待定|待办|暂无(?:说明|描述|文档)?|无|未完成|未記入|後で書く|説明なし|추후 작성|설명 없음)[。.!！]?")
 _TYPES = frozenset("any string str number int integer float bool boolean object void null none undefined list dict map array tuple set unknown never error func promise t".split())
 _LINE_NOISE = re.compile(
@@ -66,10 +68,6 @@ def _name_words(name: str) -> frozenset[str]:
     return frozenset(out)
 
 
-def _weight(words: list[str]) -> int:
-    return sum(max(1, len(w) // 2) if not w.isascii() and _WORD.match(w) and ord(w[0]) > 0xE00 else 1 for w in words)
-
-
 def own_words(name: str, summary: str) -> list[str]:
     """The words of a description that say something: not the function's name, fillers, placeholders, directives,
     notices, rulers, code or bare parameters."""
@@ -98,15 +96,15 @@ def own_words(name: str, summary: str) -> list[str]:
         if plain in _PLACEHOLDER or (words and all(w in _PLACEHOLDER or w in _FILL for w in words) and any(w in _PLACEHOLDER and w not in _FILL for w in words)):
             continue
         out += [w for w in words if w not in known and w not in _FILL and w not in skip and not w.isdigit()]
-    return out
+    return [] if len(out) == 1 and out[0] in _VAGUE else out
 
 
 def described(functions: DataFrame) -> DataFrame:
     """node_id, template, n_same: the functions (id, name, summary) whose description says something about them.
 
     The template of a description is a hash of its own words with numbers left out; ``n_same`` is the number of
-    functions that share it, counted over all functions. Templates that many share and that hold hardly a word, like
-    those without any, are dropped. Null and blank descriptions say nothing; a null name restates nothing. Repeated rows
+    functions that share it, counted over all functions; how many share it decides nothing. Descriptions without a word of
+    their own, or with a vague one alone, are dropped. Null and blank descriptions say nothing; a null name restates nothing. Repeated rows
     of a function count once.
     """
 
@@ -114,28 +112,26 @@ def described(functions: DataFrame) -> DataFrame:
         import xxhash
 
         for b in batches:
-            ids, hashes, weights = [], [], []
+            ids, hashes = [], []
             for key, name, summary in zip(*(c.to_pylist() for c in b.columns)):
                 own = own_words(name or "", summary)
                 if own:
                     ids.append(key)
                     hashes.append(xxhash.xxh64_intdigest(" ".join(re.sub(r"\d+", "0", w) for w in own)) - (1 << 63))
-                    weights.append(_weight(own))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(hashes, pa.int64()), pa.array(weights, pa.int32())], ["node_id", "template", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(hashes, pa.int64())], ["node_id", "template"])
 
     speaking = (
         functions.select(F.col("id").cast("string"), "name", "summary")
         .filter(F.length(F.trim("summary")) > 0)
-        .mapInArrow(run, "node_id string, template bigint, weight int")
+        .mapInArrow(run, "node_id string, template bigint")
         .dropDuplicates(["node_id"])
     )
     speaking = cut(speaking)
     # only templates that repeat need a count of their own; the others count one
-    counts = cut(speaking.groupBy("template").agg(F.count(F.lit(1)).alias("n_same"), F.min("weight").alias("w")).filter(F.col("n_same") > 1))
+    counts = cut(speaking.groupBy("template").agg(F.count(F.lit(1)).alias("n_same")).filter(F.col("n_same") > 1))
     return (
         sized_join(speaking, counts.select("template", "n_same"), "template", "left")
         .withColumn("n_same", F.coalesce("n_same", F.lit(1)))
-        .filter((F.col("n_same") < REPEATED) | (F.col("weight") >= WORDS))
         .select("node_id", "template", "n_same")
     )
 

@@ -112,3 +112,10 @@ def test_p5_found_parses_the_files(spark, monkeypatch):
     read = []
     monkeypatch.setattr(Q, "table", lambda s, d, name, *columns: (read.append(name), {"nodes": f, "extracts": e}[name].select(*columns))[1])
     assert {r.node_id for r in Q.p5_found(spark, "").collect()} == {"a", "z"} and "extracts" in read
+
+
+@pytest.mark.parametrize("copies", [1, 19, 20, 60])
+def test_verdict_is_alike_at_every_size(spark, copies):
+    rows = [(f"{s}{i}", "f", s) for s in ("Whatever.", "Idempotent.") for i in range(copies)]
+    got = FN.described(spark.createDataFrame(rows, "id string, name string, summary string")).collect()
+    assert {r.node_id for r in got} == {f"Idempotent.{i}" for i in range(copies)} and {r.n_same for r in got} == {copies}
