@@ -165,10 +165,23 @@ def longest_prefix(paths: DataFrame, folders: DataFrame) -> DataFrame:
 def contained(points: DataFrame, spans: DataFrame) -> DataFrame:
     """The innermost span of each point: points (file, at, ...), spans (file, first, last, span).
 
-    Points and spans of a file are swept in the order of their lines within the file's partition; the innermost is the shortest
-    span that holds the point, the first by name among equals. Points in no span have none.
+    The lines of a file are halved again and again; a span goes to the few halves that make it up, at most two of each size, and
+    each half keeps its innermost span alone. A point looks at the halves it lies in, one of each size up to the longest span, so
+    points and spans of a file are never compared in pairs. The innermost is the shortest span that holds the point, the first by
+    name among equals. Points in no span have none.
     """
-    joined = points.join(spans, "file", "left").filter((F.col("first") <= F.col("at")) & (F.col("at") <= F.col("last")))
+    # at level k a half has 2^k lines; begin and end are those within the span, and an odd one belongs to no larger half within it
+    begin, end = F.expr("-shiftright(-CAST(first AS BIGINT), level)"), F.expr("shiftright(CAST(last AS BIGINT) + 1, level)")
+    length = F.col("last").cast("bigint") - F.col("first") + 1
+    whole = spans.filter(F.col("file").isNotNull() & (F.col("first") <= F.col("last"))).withColumn("top", F.floor(F.log2(length)).cast("int") + 1)
+    halves = whole.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("top")))).withColumn("half", F.explode(F.array_compact(F.array(
+        F.when((begin < end) & (begin % 2 != 0), begin), F.when((begin < end) & (end % 2 != 0), end - 1),
+    ))))
     key = F.struct(F.col("last") - F.col("first"), F.col("span"))
-    best = joined.groupBy("file", "at").agg(F.min_by("span", key).alias("span"))
+    inner = halves.groupBy("file", "level", "half").agg(F.min_by("span", key).alias("span"), F.min(key).alias("key"))
+    top = whole.agg(F.max("top").alias("top"))
+    places = points.filter(F.col("file").isNotNull() & F.col("at").isNotNull()).select("file", "at").distinct()
+    # one row
+    levels = places.crossJoin(F.broadcast(top)).withColumn("level", F.explode(F.sequence(F.lit(0), F.col("top")))).withColumn("half", F.expr("shiftright(CAST(at AS BIGINT), level)"))
+    best = levels.join(inner, ["file", "level", "half"]).groupBy("file", "at").agg(F.min_by("span", "key").alias("span"))
     return points.join(best, ["file", "at"], "left")

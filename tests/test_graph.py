@@ -113,3 +113,27 @@ def test_scalars(spark):
     assert one(S.sql_table, 'insert into public."T" values', "select * from a.b join c", "drop table if exists x", "select 1") == ["T", "a.b", "x", None]
     assert one(S.env_name_kind, "NEXT_PUBLIC_TOKEN", "DB_PASSWORD", "PORT") == ["public", "secret", "plain"]
     assert spark.range(1).select(S.percent(F.lit(1), F.lit(3)), S.percent(F.lit(1), F.lit(0))).first() == (33, 0)
+
+
+def test_contained_compares_no_pairs(spark):
+    import random
+
+    rnd = random.Random(5)
+    spans = [(f, a, a + rnd.choice([-1, 0, 1, 7, 60, 900]), f"s{i:03}") for i in range(400) for f in [rnd.choice("fg")] for a in [rnd.randrange(-20, 1000)]] + [("f", 1, None, "n"), (None, 1, 9, "n")]
+    points = [(rnd.choice("fgh"), rnd.randrange(-30, 1200)) for _ in range(500)] + [("f", None), (None, 5)]
+    p, s = spark.createDataFrame(points, "file string, at int"), spark.createDataFrame(spans, "file string, first int, last int, span string")
+
+    def want(f, at):
+        held = [(b - a, n) for g, a, b, n in spans if at is not None and f is not None and g == f and b is not None and a <= at <= b]
+        return min(held)[1] if held else None
+
+    assert rows(G.contained(p, s)) == {(f, at, want(f, at)) for f, at in points}
+    assert G.contained(p, s.limit(0)).filter("span IS NOT NULL").count() == 0
+
+
+def test_contained_joins_on_equal_keys(spark):
+    points = spark.range(3000).selectExpr("'f' AS file", "CAST(id AS INT) AS at")
+    spans = spark.range(3000).selectExpr("'f' AS file", "CAST(id AS INT) AS first", "CAST(id + 1 AS INT) AS last", "CAST(id AS STRING) AS span")
+    plan = G.contained(points, spans)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join " in line]
+    assert joins and not any("<=" in line for line in joins)  # equal keys alone
