@@ -26,8 +26,6 @@ from strataq.operators.scale import spread
 SAMPLE_TEXTS, SAMPLE_CHARS = 4000, 20_000
 #: The longest token, in characters, that is counted, and the most tokens that are sent to all tasks.
 TOKEN_CHARS, TOKENS = 8, 50_000
-#: A quotation or parenthesis longer than this does not shield the marks in it.
-QUOTE_CHARS = 400
 _DIM = 1 << 18
 
 # Marks, closers and openers, and abbreviations that seed the weak labels.
@@ -111,18 +109,19 @@ def blocks(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 def _shields(block: str) -> list[tuple[int, int]]:
-    """The spans between paired quotes and brackets, outermost first come."""
+    """The spans between paired quotes and brackets of any length, outermost first come.
+
+    A straight quote between a space and a word opens; it never closes what an earlier one left open.
+    """
     spans, stack = [], []
     for m in re.finditer(r"[()\[\]（）「」『』【】《》«»“”„\"]", block):
         c, at = m[0], m.start()
-        if stack and c == stack[-1][0]:
-            _, begin = stack.pop()
-            if at - begin <= QUOTE_CHARS:
-                spans.append((begin, at))
+        if stack and c == stack[-1][0] and not (c == '"' and at and block[at - 1].isspace() and not block[at + 1 : at + 2].isspace() and at + 1 < len(block)):
+            spans.append((stack.pop()[1], at))
         elif c in _PAIRS and not (c == '"' and at and not block[at - 1].isspace() and block[at - 1] not in "([（"):
+            if c == '"' and stack and stack[-1][0] == c:
+                stack.pop()
             stack.append((_PAIRS[c], at))
-            if len(stack) > 50:
-                stack.pop(0)
     return spans
 
 

@@ -72,3 +72,15 @@ def test_dirty(spark, model):
 def test_one_case(model):
     text = MARKED[0].split("|")[0].lower() + " " + "it covers routes, guards, stores, etc. the ledger loads and stops."
     assert [text[a:b] for a, b in S.split(text, model)][1:] == ["it covers routes, guards, stores, etc.", "the ledger loads and stops."]
+
+
+@pytest.mark.parametrize("quote", ["„{}“", "«{}»", "({})", '"{}"'])
+def test_long_quotation_does_not_divide(quote):
+    text = "The log asks " + quote.format("Who are you? Wait for timber. " * 30 + "Then go.") + " before the bucket is read."
+    assert not [p for p in S._places(text) if p.end < text.index(" before")]
+
+
+def test_deep_and_unpaired_brackets():
+    deep = "(" + "[(" * 40 + "x" + ")]" * 40 + ")"
+    assert len(S._shields(deep)) == 81
+    assert S._shields('a 5" b. "c. ' + "d. " * 200 + '"e. f."')[-1][0] > 500
