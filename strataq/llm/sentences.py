@@ -5,7 +5,8 @@ is tagged as boundary or inside by a linear-chain model. Only places that could
 with what follows them; in Thai, spaces between Thai letters) have a boundary score at all, so the Viterbi search
 steps from one such place to the next; between them the tag is inside. The model learns from the corpus itself: the
 end of a block followed by the start of the next is a boundary, a mark before a lower-case word or after a token that the
-whole corpus never puts at the end of a block is inside. For Thai it sees its training text without any marks.
+whole corpus never puts at the end of a block is inside. The transitions of the chain are constants, not learned, and in
+Thai each space between Thai letters is labelled a boundary, by rule.
 """
 
 from __future__ import annotations
