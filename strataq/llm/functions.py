@@ -1,10 +1,19 @@
-"""Functions of source files paired with their documentation."""
+"""Functions of source files paired with their documentation.
+
+Files are parsed by the island grammars (generalised LL), also where they are broken; the functions found there are the
+rows, with name, lines, parameters, code and the comment that stands with them. Descriptions are turned into templates:
+the function's own name and its parameters become slots. A template of few words that is repeated across the corpus under
+many names says nothing and is dropped by the count of its hash; what no count can show (notices, directives, a
+restated name that stands once) is judged by its words.
+"""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,14 +24,15 @@ from strataq.llm.lexers import Token, tokens
 from strataq.llm.syntax import language_of
 from strataq.operators.scale import cut, sized_join
 
-#: A text that so many functions share is called a template; a verdict depends on words alone, so it is alike at every size.
-REPEATED = 20
+#: A template is dropped if it has at most TEMPLATE_WORDS words beside its slots and more than one in TEMPLATE_SHARE of
+#: all functions have it, under TEMPLATE_NAMES names or more. A share, so the verdict is alike at every size; it also means
+#: that fewer than TEMPLATE_SHARE templates can be dropped, whatever the data.
+TEMPLATE_WORDS, TEMPLATE_SHARE, TEMPLATE_NAMES = 2, 500, 3
 
 # What fills descriptions, and what stands in for them.
 _FILL = frozenset(
-    "a an the this that these it its is are to of for in on and or by with from as function functions method methods procedure routine helper class member description describes"
-    " summary documentation doc docs does do performs perform will can name called given used async def func fn self cls returns return param params"
-    " parameter parameters arg args argument arguments value values result object data type types der die das ein eine funktion methode le la les un une fonction méthode el los una función método функция метод".split()
+    "a an the this that it its is to of for in on and by with function functions method methods description describes summary documentation does name called"
+    " returns return param params parameter parameters argument value result object data type".split()
 )
 _PLACEHOLDER = frozenset(
     "todo fixme xxx hack tbd tba wip n/a na none null nil undefined placeholder stub missing pending later soon here now yet no not provided available documented undocumented document documenting"
@@ -99,38 +109,78 @@ def own_words(name: str, summary: str) -> list[str]:
     return [] if len(out) == 1 and out[0] in _VAGUE else out
 
 
-def described(functions: DataFrame) -> DataFrame:
-    """node_id, template, n_same: the functions (id, name, summary) whose description says something about them.
+# Words that do not count as words of a template.
+_FRAME = frozenset("a an and of or the this to".split())
+_NAME_SLOT, _PARAMETER_SLOT, _NUMBER_SLOT = "<name>", "<parameter>", "<number>"
+
+
+def template_of(name: str, params: list[str], summary: str) -> tuple[str, int]:
+    """The description with slots for the function's own name, its parameters and numbers, and the words beside them.
+
+    Slots of a kind that follow each other become one. A run of a script without spaces counts a word per two characters.
+    """
+    known = _name_words(name)
+    own = {p.lower() for p in params}
+    out: list[str] = []
+    for w in _WORD.findall(_MARKUP.sub(" ", summary)):
+        w = w.lower()
+        w = _NUMBER_SLOT if w.isdigit() else _PARAMETER_SLOT if w in own else _NAME_SLOT if w in known else w
+        if not (out and w == out[-1] and w in (_NAME_SLOT, _PARAMETER_SLOT)):
+            out.append(w)
+    said = [w for w in out if w not in _FRAME and w not in (_NAME_SLOT, _PARAMETER_SLOT, _NUMBER_SLOT)]
+    return " ".join(out), sum(1 if w.isascii() or _PARTS.fullmatch(w) else max(1, len(w) // 2) for w in said)
+
+
+def judged(functions: DataFrame) -> DataFrame:
+    """node_id, name, text, template, words, own: the functions (id, name, summary and, if there, params) with their templates.
 
-    The template of a description is a hash of its own words with numbers left out; ``n_same`` is the number of
-    functions that share it, counted over all functions; how many share it decides nothing. Descriptions without a word of
-    their own, or with a vague one alone, are dropped. Null and blank descriptions say nothing; a null name restates nothing. Repeated rows
-    of a function count once.
+    ``template`` is a 64-bit hash, ``text`` the template in short, ``own`` tells whether the words alone say something.
+    Null and blank descriptions say nothing and are left out; a null name restates nothing. Repeated rows of a function
+    count once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            ids, hashes = [], []
-            for key, name, summary in zip(*(c.to_pylist() for c in b.columns)):
-                own = own_words(name or "", summary)
-                if own:
-                    ids.append(key)
-                    hashes.append(xxhash.xxh64_intdigest(" ".join(re.sub(r"\d+", "0", w) for w in own)) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(hashes, pa.int64())], ["node_id", "template"])
-
-    speaking = (
-        functions.select(F.col("id").cast("string"), "name", "summary")
-        .filter(F.length(F.trim("summary")) > 0)
-        .mapInArrow(run, "node_id string, template bigint")
-        .dropDuplicates(["node_id"])
-    )
-    speaking = cut(speaking)
-    # only templates that repeat need a count of their own; the others count one
-    counts = cut(speaking.groupBy("template").agg(F.count(F.lit(1)).alias("n_same")).filter(F.col("n_same") > 1))
+            rows = []
+            for key, name, params, summary in zip(*(c.to_pylist() for c in b.columns)):
+                text, words = template_of(name or "", params or [], summary)
+                rows.append((key, name, text[:80], xxhash.xxh64_intdigest(text) - (1 << 63), words, bool(own_words(name or "", summary))))
+            columns = list(zip(*rows)) if rows else [[]] * 6
+            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["node_id", "name", "text", "template", "words", "own"])
+
+    params = F.col("params") if "params" in functions.columns else F.lit(None).cast("array<string>").alias("params")
+    speaking = functions.select(F.col("id").cast("string").alias("id"), "name", params, "summary").filter(F.length(F.trim("summary")) > 0)
+    return speaking.mapInArrow(run, "node_id string, name string, text string, template bigint, words int, own boolean").dropDuplicates(["node_id"])
+
+
+def templates(rows: DataFrame) -> DataFrame:
+    """template, text, words, n_same, n_names, dropped: the templates of ``judged`` rows, counted over all functions.
+
+    Counts combine in each task before the shuffle, so a template of a third of all rows is no burden.
+    """
+    per_name = rows.groupBy("template", "name").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("text"), F.min("words").alias("words"))
+    per = per_name.groupBy("template").agg(F.min("text").alias("text"), F.min("words").alias("words"), F.sum("n").alias("n_same"), F.count(F.lit(1)).alias("n_names"))
+    total = rows.agg(F.count(F.lit(1)).alias("__all"))  # one row
+    boilerplate = (F.col("words") <= TEMPLATE_WORDS) & (F.col("n_same") * TEMPLATE_SHARE > F.col("__all")) & (F.col("n_names") >= TEMPLATE_NAMES)
+    return per.crossJoin(F.broadcast(total)).withColumn("dropped", boilerplate).drop("__all")
+
+
+def described(functions: DataFrame) -> DataFrame:
+    """node_id, template, n_same: the functions (id, name, summary and, if there, params) whose description says something.
+
+    Dropped are descriptions whose template is repeated across the corpus (see ``templates``) and those without a word of
+    their own. ``n_same`` is the number of functions that share the template. Null and blank descriptions say nothing; a
+    null name restates nothing. Repeated rows of a function count once.
+    """
+    rows = cut(judged(functions))
+    counted = cut(templates(rows).filter(F.col("dropped") | (F.col("n_same") > 1)))
+    dropped = counted.filter("dropped").select("template")
+    left = rows.filter("own").join(F.broadcast(dropped), "template", "left_anti")  # fewer than TEMPLATE_SHARE rows
     return (
-        sized_join(speaking, counts.select("template", "n_same"), "template", "left")
+        sized_join(left, counted.filter("not dropped").select("template", "n_same"), "template", "left")
         .withColumn("n_same", F.coalesce("n_same", F.lit(1)))
         .select("node_id", "template", "n_same")
     )
@@ -157,8 +207,10 @@ _OPEN = {v: k for k, v in _CLOSE.items()}
 
 
 @cache
-def _grammar(language: str) -> GLL:
-    return GLL(_GRAMMARS[language].replace("PREDEFINED", "'PREDEFINED'"), _NEVER)
+def _grammar(language: str, damaged: bool = False) -> GLL:
+    """The grammar of whole functions, or of those whose header stands before a body with unbalanced brackets."""
+    text = _GRAMMARS[language].replace("PREDEFINED", "'PREDEFINED'")
+    return GLL(text.replace("'{}'", "'BAD'").replace("'SUITE'", "'BAD'") if damaged else text, _NEVER)
 
 
 def _groups(found: list[Token]) -> tuple[list[list[Token]], list[Token]]:
@@ -200,25 +252,77 @@ def _groups(found: list[Token]) -> tuple[list[list[Token]], list[Token]]:
     return done, stack[0][1]
 
 
-def functions_in(content: str, language: str) -> list[tuple[str, int, int]]:
-    """(name, first line, last line) of the functions that are whole, also in a file that does not parse; lines count from 1."""
+class Function(NamedTuple):
+    """A function of a file: lines count from 1; ``doc`` is the comment or docstring that stands with it, as written."""
+
+    name: str
+    first: int
+    last: int
+    params: tuple[str, ...]
+    doc: str | None
+    whole: bool = True
+
+
+_PARAM_END = re.compile(r"[:=?]")
+
+
+def _params(inside: str, language: str) -> tuple[str, ...]:
+    """The names of the parameters of a list without its brackets."""
+    out, depth, part = [], 0, ""
+    for c in inside + ",":
+        depth += (c in "([{<") - (c in ")]}>" and not part.endswith(("=", "-")))
+        if c == "," and depth <= 0:
+            words = re.findall(r"[^\W\d]\w*", part.split("=")[0] if language == "csharp" else _PARAM_END.split(part)[0])
+            words = [w for w in words if w not in ("mut", "self", "cls", "this", "ref", "out", "in", "params")]
+            if words:
+                out.append(words[-1] if language in ("csharp", "rust") else words[0])
+            part = ""
+        else:
+            part += c
+    return tuple(out)
+
+
+def _comment_above(lines: list[str], first: int) -> str | None:
+    """The comment that ends on the line above ``first`` (from 1), attributes between left out."""
+    at = first - 2
+    while at >= 0 and re.match(r"\s*(?:#\[|@\w|\[\w)", lines[at]):
+        at -= 1
+    end = at + 1
+    if at >= 0 and lines[at].rstrip().endswith("*/"):
+        while at >= 0 and "/*" not in lines[at]:
+            at -= 1
+        return "\n".join(lines[at:end]) if at >= 0 else None
+    while at >= 0 and lines[at].lstrip().startswith("//"):
+        at -= 1
+    return "\n".join(lines[at + 1 : end]) or None
+
+
+_DOCSTRING = re.compile(r"\s*[rRuU]{0,2}(\"\"\"|'''|\"|')([\s\S]*?)\1")
+
+
+def functions_of(content: str, language: str, damaged: bool = False) -> list[Function]:
+    """The functions that are whole, also in a file that does not parse; with ``damaged`` also those with a broken body."""
     if language not in _GRAMMARS:
         return []
     inner, outer = _groups(tokens(content, language))
-    lines = [0]
+    starts_of = [0]
     for m in re.finditer("\n", content):
-        lines.append(m.end())
-    from bisect import bisect_right
+        starts_of.append(m.end())
+    lines = content.split("\n")
 
     grammar = _grammar(language)
-    out = []
+    out = set()
     words = {"python": ("def", "async"), "go": ("func",)}.get(language)
     for group in (*inner, outer):
         kinds = ["PREDEFINED" if language == "csharp" and t.kind in _PREDEFINED else t.kind for t in group]
         starts = [i for i, t in enumerate(group) if (kinds[i] in words if words else t.new_line and kinds[i] not in _NEVER)]
         if not any(k in ("()", "BAD") for k in kinds):
             continue
-        for first, end in grammar.islands(kinds, "function", starts):
+        found = [(*x, True) for x in grammar.islands(kinds, "function", starts)]
+        if damaged and "BAD" in kinds:
+            met = {x[0] for x in found}
+            found += [(*x, False) for x in _grammar(language, True).islands(kinds, "function", [i for i in starts if i not in met])]
+        for first, end, whole in found:
             at = next((i for i in range(first, end) if kinds[i] == "()" and i > first), None)
             if language == "rust" and at is not None and kinds[at - 1] == "pub":
                 at = next(i for i in range(at + 1, end) if kinds[i] == "()")
@@ -228,74 +332,101 @@ def functions_in(content: str, language: str) -> list[tuple[str, int, int]]:
                 k -= 1
             name = content[group[k].start : group[k].end] if at and k >= first else ""
             if language == "go":
-                name = next(content[group[i].start : group[i].end] for i in range(first, end) if kinds[i] == "ID")
+                n = next(i for i in range(first, end) if kinds[i] == "ID")
+                name = content[group[n].start : group[n].end]
+                at = next((i for i in range(n, end) if kinds[i] == "()"), at)
             if name in _NOT_NAMES:
                 continue
             last = group[end - 1]
             stop = last.end if last.kind != "NEWLINE" else group[end - 2].end
+            doc = None
             if last.kind == "SUITE":
-                stop = last.start + len(content[last.start : last.end].rstrip())
-            out.append((name, bisect_right(lines, group[first].start), bisect_right(lines, max(group[first].start, stop - 1))))
-    return sorted(set(out), key=lambda x: (x[1], x[2]))
+                body = content[last.start : last.end]
+                stop = last.start + len(body.rstrip())
+                if m := _DOCSTRING.match(body):
+                    doc = m[2]
+            begin = bisect_right(starts_of, group[first].start)
+            if language != "python":
+                doc = _comment_above(lines, begin)
+            params = _params(content[group[at].start + 1 : group[at].end - 1], language) if at else ()
+            out.add(Function(name, begin, bisect_right(starts_of, max(group[first].start, stop - 1)), params, doc, whole))
+    return sorted(out, key=lambda x: (x.first, x.last, x.name))
+
+
+def functions_in(content: str, language: str) -> list[tuple[str, int, int]]:
+    """(name, first line, last line) of ``functions_of``."""
+    return [f[:3] for f in functions_of(content, language)]
 
 
-def pairs(functions: DataFrame, extracts: DataFrame, without_code: bool = False) -> DataFrame:
-    """node_id, language, description, code, whole, n_same: described functions with their code.
+def parsed(files: DataFrame, code: bool = True) -> DataFrame:
+    """scope_id, path, name, first, last, params, doc, whole, code: the functions found by parsing the latest delivery of each file.
 
-    ``functions`` has id, name, path, language, start_line, end_line and summary, ``extracts`` path and content. The code
-    are the lines of the node; ``whole`` tells whether a whole function begins on its first line and ends by its last, which
-    also holds for functions in files that do not parse. Functions of a file travel together, so each content is moved
-    once. Without content, or where the lines lie outside, there is no pair; with ``without_code`` there is a row with null
-    code. Of several contents of a path the largest counts.
+    ``files`` has scope_id, path, content, language, run_at and loaded_at. A file is its scope and path; of its deliveries
+    the one with the latest run, then arrival, then the greatest text counts. Null contents, null paths and unknown
+    languages have no functions. Several functions that begin on one line are told apart by their names. A function whose
+    header is sound but whose body is not is there with ``whole`` false.
     """
+    spark = files.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    latest = (
+        files.filter(F.col("path").isNotNull())
+        .repartition(tasks, "scope_id", "path")  # a stated number: small texts that are dear to parse are not put together again
+        .groupBy("scope_id", "path")
+        .agg(F.max(F.struct("run_at", "loaded_at", "content", "language")).alias("f"))
+        .select("scope_id", "path", F.col("f.content").alias("content"), F.col("f.language").alias("language"))
+        .filter(F.col("content").isNotNull() & F.col("language").isNotNull())
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["scope_id", "path", "name", "first", "last", "params", "doc", "whole", "code"]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.bool_(), pa.string()]
         for b in batches:
-            rows = []
-            for content, wanted in zip(b.column("content").to_pylist(), b.column("wanted").to_pylist()):
-                lines = [] if content is None else content.removeprefix("﻿").replace("\r\n", "\n").split("\n")
-                spans: dict[str, set] = {}
-                for w in wanted:
-                    first, last, language = w["start_line"], w["end_line"], w["lang"]
-                    if first is None or first < 1 or first > len(lines):
-                        if without_code:
-                            rows.append((w["id"], language, w["summary"], None, False, w["n_same"]))
-                        continue
-                    if language not in spans:
-                        spans[language] = set(functions_in(content, language)) if language else set()
-                    last = min(last or first, len(lines))
-                    whole = any(s == first and e <= last for _, s, e in spans[language])
-                    rows.append((w["id"], language, w["summary"], "\n".join(lines[first - 1 : last]), whole, w["n_same"]))
-            columns = list(zip(*rows)) if rows else [[]] * 6
-            kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["node_id", "language", "description", "code", "whole", "n_same"])
-
-    good = described(functions)
-    rows = functions.select(F.col("id").cast("string").alias("id"), "path", "start_line", "end_line", "summary", language_of(F.col("language"), F.col("path")).alias("lang")).dropDuplicates(["id"])
-    named = rows.join(good.select(F.col("node_id").alias("id"), F.col("n_same").cast("bigint")), "id")
-    per_file = named.filter(F.col("path").isNotNull()).groupBy("path").agg(F.collect_list(F.struct("id", "lang", "start_line", "end_line", "summary", "n_same")).alias("wanted"))
-    texts = extracts.filter(F.col("content").isNotNull()).groupBy("path").agg(F.max("content").alias("content"))
-    schema = "node_id string, language string, description string, code string, whole boolean, n_same bigint"
-    found = per_file.join(texts, "path", "left" if without_code else "inner").select("content", "wanted").mapInArrow(run, schema)
-    if not without_code:
-        return found
-    no_file = named.filter(F.col("path").isNull())
-    return found.unionByName(no_file.select(F.col("id").alias("node_id"), F.col("lang").alias("language"), F.col("summary").alias("description"), F.lit(None).cast("string").alias("code"), F.lit(False).alias("whole"), "n_same"))
+            for scope, path, content, language in zip(*(c.to_pylist() for c in b.columns)):
+                content = content.removeprefix("\ufeff").replace("\r\n", "\n")
+                lines = content.split("\n")
+                rows = [(scope, path, f.name, f.first, f.last, list(f.params), f.doc, f.whole, "\n".join(lines[f.first - 1 : f.last]) if code else None) for f in functions_of(content, language, damaged=True)]
+                if rows:  # a batch a file: a file's functions never wait for those of others
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    return latest.mapInArrow(run, "scope_id string, path string, name string, first int, last int, params array<string>, doc string, whole boolean, code string")
+
+
+def pairs(functions: DataFrame, files: DataFrame, code: bool = True) -> DataFrame:
+    """node_id, language, description, doc, code, whole, n_same: described functions with the functions that the parser found.
+
+    ``functions`` has id, scope_id, name, path, language, start_line and summary, ``files`` as ``parsed`` takes them. A node
+    and a parsed function are one if scope, path, first line and name agree; what the parser does not find has no
+    pair. ``doc`` is the comment in the file; the description that is judged is the node's ``summary``. Null ids of scopes
+    agree with each other, other nulls with nothing. Repeated rows of a function give one.
+    """
+    kept = ["id", "scope_id", "name", "path", "start_line", "summary"]
+    rows = functions.select(*kept, language_of(F.col("language"), F.col("path")).alias("language")).filter(F.length(F.trim("summary")) > 0).dropDuplicates(["id"])
+    islands = parsed(files, code)
+    same = (
+        rows["scope_id"].eqNullSafe(islands["scope_id"]) & (rows["path"] == islands["path"]) & (rows["start_line"] == islands["first"]) & (rows["name"] == islands["name"])
+    )
+    matched = rows.join(islands, same).select(rows["id"].cast("string").alias("id"), rows["name"], "language", "summary", "params", "doc", "code", "whole")
+    matched = cut(matched.dropDuplicates(["id"]))
+    good = described(matched)
+    return (
+        matched.join(good.select(F.col("node_id").alias("id"), "n_same"), "id")
+        .select(F.col("id").alias("node_id"), "language", F.col("summary").alias("description"), "doc", "code", "whole", F.col("n_same").cast("bigint").alias("n_same"))
+    )
 
 
 def whole_functions(files: DataFrame) -> DataFrame:
-    """extract_id, name, start_line, end_line of the whole functions of ``files`` (extract_id, content, language).
+    """extract_id, name, start_line, end_line, params, doc of the whole functions of ``files`` (extract_id, content, language).
 
     Null contents and unknown languages have none; repeated rows count once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(key, *f) for key, content, language in zip(*(c.to_pylist() for c in b.columns)) for f in functions_in(content, language)]
-            columns = list(zip(*rows)) if rows else [[]] * 4
-            kinds = [b.schema.field(0).type, pa.string(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["extract_id", "name", "start_line", "end_line"])
+            rows = [(key, f.name, f.first, f.last, list(f.params), f.doc) for key, content, language in zip(*(c.to_pylist() for c in b.columns)) for f in functions_of(content, language)]
+            columns = list(zip(*rows)) if rows else [[]] * 6
+            kinds = [b.schema.field(0).type, pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["extract_id", "name", "start_line", "end_line", "params", "doc"])
 
     known = files.select("extract_id", "content", "language").filter(F.col("content").isNotNull() & F.col("language").isNotNull())
     key = known.schema["extract_id"].dataType.simpleString()
-    return known.mapInArrow(run, f"extract_id {key}, name string, start_line int, end_line int").distinct()
+    return known.mapInArrow(run, f"extract_id {key}, name string, start_line int, end_line int, params array<string>, doc string").distinct()

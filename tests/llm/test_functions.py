@@ -35,11 +35,11 @@ def test_empty(name, summary):
 def test_described(spark):
     rows = [(f"g{i}", n, s) for i, (n, s) in enumerate(GOOD)] + [(f"e{i}", n, s) for i, (n, s) in enumerate(EMPTY)]
     rows += rows[:3] + [("n", "f", None), (None, "f", "Keeps its order well."), ("long", "f", "word " * 50_000)]
-    rows += [(f"t{i}", "f", "Whatever.") for i in range(FN.REPEATED)] + [(f"u{i}", "f", "Caller closes stream.") for i in range(FN.REPEATED)]
+    rows += [(f"t{i}", "f", "Whatever.") for i in range(20)] + [(f"u{i}", "f", "Caller closes the stream.") for i in range(20)]
     df = spark.createDataFrame([(*r, 3) for r in rows], "id string, name string, summary string, weight int")
     got = {r.node_id: r.n_same for r in FN.described(df).collect()}
-    want = {f"g{i}" for i in range(len(GOOD))} | {None, "long"} | {f"u{i}" for i in range(FN.REPEATED)}
-    assert set(got) == want and got["u1"] == FN.REPEATED + 1
+    want = {f"g{i}" for i in range(len(GOOD))} | {None, "long"} | {f"u{i}" for i in range(20)}
+    assert set(got) == want and got["u1"] == 21
     assert FN.described(df.limit(0)).count() == 0
 
 
@@ -76,42 +76,63 @@ def test_other_functions(language):
     assert {x for x in want if x[2] < max(e for _, _, e in want)} <= set(FN.functions_in(cut, language))
 
 
+FUNCTIONS = "id string, scope_id string, name string, path string, language string, start_line int, summary string"
+FILES = "scope_id string, path string, content string, language string, run_at int, loaded_at int, name string"
+
+
 def test_pairs(spark):
     f = spark.createDataFrame(
-        [("a", "a", "p.py", "Python", 4, 7, "Adds both halves up."), ("a", "a", "p.py", "Python", 4, 7, "Adds both halves up."), ("m", "m", "p.py", None, 10, 99, "Waits for the lock."), ("x", "x", "gone.py", None, 1, 2, "Waits for it."),
-         ("y", "y", "p.py", None, 500, 501, "Lies outside."), ("z", "z", None, None, None, None, "Has no file."), ("w", "w", "p.py", None, None, 3, "Has no line.")],
-        "id string, name string, path string, language string, start_line int, end_line int, summary string",
+        [("a", "s", "a", "p.py", "Python", 4, "Adds both halves up."), ("a", "s", "a", "p.py", "Python", 4, "Adds both halves up."), ("m", "s", "m", "p.py", None, 10, "Waits for the lock."), ("x", "s", "x", "gone.py", None, 1, "Waits for it."),
+         ("y", "s", "y", "p.py", None, 500, "Lies outside."), ("z", "s", "z", None, None, None, "Has no file."), ("w", "s", "w", "p.py", None, None, "Has no line."), ("o", "other", "a", "p.py", None, 4, "Is in a file of its own scope."),
+         ("t", "s", "inner", "p.py", None, 6, "TODO"), ("n", None, "a", "p.py", None, 4, "Belongs to no scope.")],
+        FUNCTIONS,
     )
-    e = spark.createDataFrame([("p.py", PY, 1), ("p.py", PY, 2), ("q.py", None, 3), (None, "x", 4)], "path string, content string, id int")
+    old = PY.replace("return {1: [2]}", "return None")
+    e = spark.createDataFrame(
+        [("s", "p.py", old, "python", 1, 9, "k"), ("s", "p.py", PY, "python", 2, 1, "k"), ("s", "p.py", PY, "python", 2, 1, "k"), ("s", "q.py", None, "python", 1, 1, "k"), ("s", None, "x", "python", 1, 1, "k"), (None, "p.py", old, "python", 1, 1, "k")], FILES
+    )
     got = {r.node_id: r for r in FN.pairs(f, e).collect()}
-    assert set(got) == {"a", "m"} and got["a"].whole and got["a"].code == "\n".join(PY.split("\n")[3:7]) and got["m"].whole
-    assert FN.pairs(f, e.limit(0)).count() == 0
+    assert set(got) == {"a", "m", "n"} and got["a"].whole and got["a"].code == "\n".join(PY.split("\n")[3:7]) and got["a"].doc == "d" and got["n"].code != got["a"].code
+    assert FN.pairs(f, e.limit(0)).count() == 0 and FN.pairs(f.limit(0), e).count() == 0
     files = spark.createDataFrame([(1, PY, "python"), (1, PY, "python"), (2, None, "go"), (None, "fn f() {}", "rust"), (3, "x", None)], "extract_id bigint, content string, language string")
     assert FN.whole_functions(files).count() == 6
 
 
-def test_pairs_without_code(spark):
-    f = spark.createDataFrame(
-        [("a", "a", "p.py", "Python", 4, 7, "Adds both halves up."), ("x", "x", "gone.py", None, 1, 2, "Waits for it."), ("y", "y", "p.py", None, 500, 501, "Lies outside."), ("z", "z", None, None, None, None, "Has no file."), ("w", "w", "p.py", None, None, 3, "Has no line."),
-         ("t", "t", "p.py", "Python", 4, 7, "TODO")],
-        "id string, name string, path string, language string, start_line int, end_line int, summary string",
-    )
-    e = spark.createDataFrame([("p.py", PY), ("q.py", None)], "path string, content string")
-    got = {r.node_id: (r.code is not None, r.whole) for r in FN.pairs(f, e, without_code=True).collect()}
-    assert got == {"a": (True, True), "x": (False, False), "y": (False, False), "z": (False, False), "w": (False, False)}
+def test_pairs_in_broken_files(spark):
+    text = "func f(a int) int {\n\treturn a\n}\n\nfunc g(b int) int {\n\treturn (b\n"
+    f = spark.createDataFrame([("f", "s", "f", "p.go", None, 1, "Keeps what it gets."), ("g", "s", "g", "p.go", None, 5, "Loses what it gets.")], FUNCTIONS)
+    got = {r.node_id: r.whole for r in FN.pairs(f, spark.createDataFrame([("s", "p.go", text, "go", 1, 1, "k")], FILES)).collect()}
+    assert got == {"f": True, "g": False}
+
+
+@pytest.mark.parametrize(
+    "language,inside,want",
+    [("python", "self, a, b: dict[str, int] = {}, *c, **d", ("a", "b", "c", "d")), ("typescript", "rows: Map<string, any>, { x }, y = 3", ("rows", "x", "y")), ("go", "a string, b ...int", ("a", "b")), ("csharp", "List<int> a, ref string b = \"\"", ("a", "b")), ("rust", "&self, mut a: Vec<u8>", ("a",)), ("go", "", ())],
+)
+def test_params(language, inside, want):
+    assert FN._params(inside, language) == want
+
+
+def test_templates_are_dropped_by_their_counts(spark):
+    rows = [(f"n{i}", f"pack{w}", s.format(w)) for i, w in enumerate(("Row", "Lane", "Gate", "Node")) for s in ("Zurra {0}.", "Caller closes the stream.")]
+    rows = [(f"{i}{n}", name, s) for i, (n, name, s) in enumerate(rows)] + [("one", "load", "Zurra load it lazily, later than others.")]
+    f = spark.createDataFrame(rows, "id string, name string, summary string")
+    assert {r.text: r.dropped for r in FN.templates(FN.judged(f)).collect()} == {"zurra <name>": True, "caller closes the stream": False, "zurra <name> it lazily later than others": False}
+    assert {r.node_id for r in FN.described(f).collect()} == {k for k, _, s in rows if not s.startswith("Zurra") or k == "one"}
 
 
-def test_p5_found_parses_the_files(spark, monkeypatch):
+def test_p5_found_comes_from_the_parser(spark, monkeypatch):
     from strataq.llm import queries_functions as Q
 
     f = spark.createDataFrame(
-        [("a", "function", "a", "p.py", "Python", 4, 7, "Adds both halves up.", "docs"), ("z", "function", "z", None, None, None, None, "Has no file.", "docs")],
-        "id string, kind string, name string, path string, language string, start_line int, end_line int, summary string, summary_source string",
+        [("a", "function", "s", "a", "p.py", "Python", 4, "Adds both halves up.", "docs"), ("file", "file", "s", "p.py", "p.py", "Python", None, None, None)],
+        "id string, kind string, scope_id string, name string, path string, language string, start_line int, summary string, summary_source string",
     )
-    e = spark.createDataFrame([("p.py", PY)], "path string, content string")
-    read = []
-    monkeypatch.setattr(Q, "table", lambda s, d, name, *columns: (read.append(name), {"nodes": f, "extracts": e}[name].select(*columns))[1])
-    assert {r.node_id for r in Q.p5_found(spark, "").collect()} == {"a", "z"} and "extracts" in read
+    e = spark.createDataFrame([("file", "p.py", PY, "s", 1, 1)], "file_id string, path string, content string, scope_id string, run_at int, loaded_at int")
+    monkeypatch.setattr(Q, "table", lambda s, d, name, *columns: {"nodes": f, "extracts": e}[name].select(*columns))
+    assert {r.node_id for r in Q.p5_found(spark, "").collect()} == {"a"}
+    monkeypatch.setattr(GLL, "islands", lambda *a: [])
+    assert [f for f in FN.functions_of(PY, "python")] == []
 
 
 @pytest.mark.parametrize("copies", [1, 19, 20, 60])
