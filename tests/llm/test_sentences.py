@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 
 from strataq.llm import sentences as S
@@ -23,6 +24,8 @@ TIGHT = [
     "画面に「誰ですか。入力してください。」と出てrafterを待ちます。|lib.rsを消さないでください！|app.pyの読み込みには約5.84秒かかります。",
 ]
 
+THAI = ["อย่าลบแฟ้มนี้ก่อนตรวจสอบ", "โฟลเดอร์ gantry เก็บเส้นทางและตัวตรวจ", "โมดูล quill อ่าน 706 บรรทัดจากแฟ้ม", "การอ่านใช้เวลา 31.44 วินาทีโดยประมาณ"]
+
 
 def corpus():
     """The marked sentences shuffled into many paragraphs, as the model learns from the corpus it splits."""
@@ -34,6 +37,8 @@ def corpus():
         parts = line.split("|")
         for _ in range(60):
             docs.append("\n\n".join((" " if line in MARKED else "").join(rnd.choices(parts, k=rnd.randrange(1, 5))) for _ in range(3)))
+    for _ in range(60):
+        docs.append("\n\n".join(" ".join(rnd.choices(THAI, k=rnd.randrange(1, 4))) + rnd.choice(["", "", "!"]) for _ in range(3)))
     return docs
 
 
@@ -84,3 +89,36 @@ def test_deep_and_unpaired_brackets():
     deep = "(" + "[(" * 40 + "x" + ")]" * 40 + ")"
     assert len(S._shields(deep)) == 81
     assert S._shields('a 5" b. "c. ' + "d. " * 200 + '"e. f."')[-1][0] > 500
+
+
+def test_viterbi_weighs_what_stands_beside():
+    places = [S._Place(n, None, ("latin", "latin"), "", "space", False) for n in (10, 12, 40)]
+    weights = {S._slot("space=latin|latin"): 0.5}
+    alone = S.Model(weights, [[[0.0, 0.0], [0.0, 0.0]]] * 2, frozenset())
+    chained = S.Model(weights, [[[0.0, 0.0], [0.0, -2.0]], [[0.0, 0.0], [0.0, 0.0]]], frozenset())
+    assert [alone.score(p) > 0 for p in places] == alone.tags(places) == [True, True, True]
+    assert chained.tags(places) in ([True, False, True], [False, True, True])
+
+
+def test_chain_learns_its_transitions():
+    """Two places close together of which the labels never make both a boundary; the features tell them nothing apart."""
+    rng = np.random.default_rng(1)
+    one = rng.random(400) < 0.5
+    labels = [[1, 0, 1] if x else [0, 1, 1] for x in one]
+    weights, steps = S._chain([[7, 7, 7]] * 400, [[1, 1, 1]] * 400, [[1, 0, 1]] * 400, labels, np.ones(400))
+    steps = np.array(steps)
+    assert steps[0, 1, 0] > steps[0, 1, 1] + 0.5 and steps[0, 0, 1] + weights[7] > steps[0, 0, 0] + 0.5
+    assert S._chain([], [], [], [], np.ones(0))[0] == {}
+
+
+def test_thai_is_learned_with_both_labels(model):
+    thai, beside = (S._Place(9, None, form, "", "space", False) for form in (("thai", "thai"), ("thai", "latin")))
+    assert model.score(thai) > 0 > model.score(beside) and model.score(S._Place(9, None, ("digit", "thai"), "", "space", False)) < 0
+    text = " ".join(THAI)
+    assert [text[a:b] for a, b in S.split(text, model)] == THAI
+
+
+def test_words_after_ordinals_are_counted(spark):
+    docs = [f"Am {n % 28 + 1}. März kam es. Der Rest blieb.\n\nDer Ordner ist leer. Um 12. Der Rest." for n in range(40)]
+    found = S.fit(spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string"))
+    assert found.ordinals == {"märz"}
