@@ -1,9 +1,12 @@
 """Credentials in configuration and source text: found by place, judged by a trained model, masked in place.
 
 Candidates are values at places where a credential could stand (assigned values, members, arguments, flags, headers,
-parts of addresses and connection strings, notes in comments). A logistic regression over the likelihood of a value's
-characters under two Markov chains, the words of the names around it, its form and the path decides; it is trained here
-on candidates that fixed patterns label weakly. Scores are calibrated on candidates that training left out.
+parts of addresses and connection strings, notes in comments). A logistic regression alone decides, over the likelihood of
+a value's characters under two Markov chains, the make-up of the value, the identifiers around it, the kind of place and
+the path. It is trained here on candidates that fixed patterns label weakly; the patterns are no features and have no say
+afterwards, and much is left unlabelled: short and memorable values outside addresses, connection strings and password
+names, values in comments, flags, members and bare assignments, and everything under names that no pattern knows. Scores
+are calibrated on candidates that training left out.
 """
 
 from __future__ import annotations
@@ -11,9 +14,9 @@ from __future__ import annotations
 import base64
 import math
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +58,7 @@ _PUBLIC = re.compile(r"-----BEGIN [A-Z0-9 ]*(?:PUBLIC KEY|CERTIFICATE|CERTIFICAT
 _USERINFO = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://([^\s/@:\"'`]*):([^\s\"'`/]+)@(?=[\w\[])")
 _ADDRESS = re.compile(r"://[^\s\"'`]*")  # of any length, up to what breaks it
 _QUERY = re.compile(r"[?&]([A-Za-z_][\w.\-]*)=([^&\s\"'`;<>]+)")
-_PAIR = re.compile(r"(?:(?<=^)|(?<=[;,\"'`?&\s]))\s*([A-Za-z][\w .\-]*?)\s*=\s*(\"(?:[^\"\n]|\"\")*\"|'[^'\n]*'|[^;,\"'`\n]*)(?=[;,\"'`\n]|$)")
+_MEMBER = re.compile(r"\s*([A-Za-z][\w .\-]*?)\s*=\s*")
 _QUOTED = re.compile(r"@?\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`]*)`")
 _NAME_BEFORE = re.compile(r"([A-Za-z_$][\w$.\-]*)[\"'`]?\s*\]?\s*(?::\s*[&\w<>\[\]|' ]{1,24}?)?\s*(?:=>|:=|[!=]==?|=|:|,|\?\?|\|\||\()\s*(?:Value\s*=\s*)?[rRbBuUf@$]*$")
 _CALL_BEFORE = re.compile(r"([A-Za-z_$][\w$]*)\s*\(\s*[rRbBuUf@$]*$")
@@ -86,7 +89,6 @@ class Candidate:
     name: str
     kind: str
     value: str
-    certain: bool = False  # a private key: its own proof
 
 
 def candidates(text: str, field: str) -> list[Candidate]:
@@ -105,30 +107,32 @@ def candidates(text: str, field: str) -> list[Candidate]:
         if a < b and free(a, b) and (a, b) not in found:
             found[a, b] = Candidate(a, b, name, kind, text[a:b])
 
-    for m in _PRIVATE.finditer(text):
-        found[m.span()] = Candidate(*m.span(), "private key", "pem", m[0], True)
+    low = text.lower()
+    armour = "-----begin" in low
+    for m in _PRIVATE.finditer(text) if armour else ():
+        found[m.span()] = Candidate(*m.span(), "private key", "pem", m[0])
         closed.append(m.span())
-    for m in _PUBLIC.finditer(text):
+    for m in _PUBLIC.finditer(text) if armour else ():
         closed.append(m.span())
-    for m in _USERINFO.finditer(text):
+    for m in _USERINFO.finditer(text) if "://" in text and "@" in text else ():
         add(*m.span(2), "password", "url")
         closed.append(m.span(2))
-    for rule in (_DSN, _NETRC):
-        for m in rule.finditer(text):
+    for rule, there in ((_DSN, "@" in text and "(" in text), (_NETRC, "password" in low and "login" in low)):
+        for m in rule.finditer(text) if there else ():
             add(*m.span(1), "password", "url")
             closed.append(m.span(1))
-    for m in _SIGN_IN.finditer(text):
+    for m in _SIGN_IN.finditer(text) if any(x in low for x in ("log", "auth", "credential", "sign")) else ():
         add(*m.span(3), "password", "login")
         closed.append(m.span(3))
     addresses = _ADDRESS.finditer(text)
     address = next(addresses, None)
-    for m in _QUERY.finditer(text):
+    for m in _QUERY.finditer(text) if "://" in text else ():
         while address and address.end() <= m.start():
             address = next(addresses, None)
         if address and address.start() < m.start() or "://" in text[max(0, m.start() - 200) : m.start()].rsplit("\n", 1)[-1]:
             add(*m.span(2), m[1], "query")
     notes = list(_COMMENT.finditer(text)) if field == "secret" else []
-    for m in _SCHEME.finditer(text):
+    for m in _SCHEME.finditer(text) if any(x in low for x in ("bearer", "basic", "token")) else ():
         add(*m.span(2), m[1].lower(), "scheme")
         if (m.span(2)) in found:
             closed.append(m.span(2))
@@ -141,7 +145,7 @@ def candidates(text: str, field: str) -> list[Candidate]:
     if field == "connectionstrings.shop":
         _pairs(text, 0, add)
         return list(found.values())
-    for m in _FLAG.finditer(text):
+    for m in _FLAG.finditer(text) if "-u" in text or "-p" in text or "--" in text else ():
         if m[1]:
             add(*m.span(3), "password", "flag")
             closed.append(m.span(3))
@@ -153,11 +157,11 @@ def candidates(text: str, field: str) -> list[Candidate]:
         g = next(g for g in (2, 3, 4) if m[g] is not None)
         add(*m.span(g), m[1], "member")
         closed.append(m.span(g))
-    for m in _XML_ADD.finditer(text):
+    for m in _XML_ADD.finditer(text) if "value" in low else ():
         g = 2 if m[1] is not None else 4
         add(*m.span(g), m[g - 1], "member")
         closed.append(m.span(g))
-    for m in _XML_TEXT.finditer(text):
+    for m in _XML_TEXT.finditer(text) if "</" in text else ():
         add(*m.span(2), m[1], "member")
     for m in notes:
         a = m.start()
@@ -198,7 +202,7 @@ def _pairs(text: str, offset: int, add) -> bool:
     any_ = False
     at = 0
     while at < len(text):
-        m = re.compile(r"\s*([A-Za-z][\w .\-]*?)\s*=\s*").match(text, at)
+        m = _MEMBER.match(text, at)
         stop = ";" if semicolons else ","
         if m:
             v = m.end()
@@ -237,29 +241,29 @@ def _plain_basic(value: str) -> str | None:
 
 
 def weak_label(c: Candidate) -> bool | None:
-    """What fixed patterns say of a candidate; null where they say nothing."""
-    if _STAND_IN.match(c.value) or _OTHER_FORM.match(c.value):
-        return False
-    if c.certain:
+    """What fixed patterns say of a candidate; null where they say nothing, and the model is on its own."""
+    v, name = c.value, _snake(c.name.strip())
+    if _PRIVATE.fullmatch(v):
         return True
-    bare = c.name.strip()
-    if c.kind == "scheme":
-        return (":" in (_plain_basic(c.value) or "")) if c.name == "basic" else None if c.name == "token" else len(c.value) >= 12
-    if _OTHER_NAME.search(_snake(bare)):
+    if _STAND_IN.match(v) or _OTHER_FORM.match(v) or _OTHER_NAME.search(name):
         return False
-    if _ISSUED.fullmatch(c.value):
+    if _ISSUED.fullmatch(v):
         return True
-    if not _SECRET_NAME.search(_snake(bare)) and c.kind not in ("url", "whole", "flag", "login") and not (c.kind == "query" and bare.lower() in ("key", "access", "code", "k", "apikey", "s")):
-        return False
-    if " " in c.value.strip() or re.fullmatch(r"[A-Za-z]+|\d+|[a-z]+[._/][a-z._/]+", c.value):
+    if c.kind == "scheme" and c.name == "basic":
+        return ":" in (_plain_basic(v) or "")
+    if " " in v or re.fullmatch(r"[A-Za-z]+|\d+|[a-z]+[._/-][a-z._/-]+", v):
         return False
-    if c.kind in ("url", "flag", "login") and len(c.value) >= 6 and re.search(r"[a-z]", c.value) and re.search(r"[A-Z]", c.value[1:]):
+    named = _SECRET_NAME.search(name) is not None
+    letters, digits = re.search(r"[A-Za-z]", v), re.search(r"\d", v)
+    if (named or c.kind in ("url", "login", "flag")) and len(v) >= 10 and digits and re.search(r"[a-z]", v) and re.search(r"[A-Z]", v):
         return True
-    if len(c.value) >= 6 and re.search(r"\d", c.value) and re.search(r"[A-Za-z]", c.value):
+    if len(v) < 6 or not letters or not (digits or re.search(r"[^\w\s]", v)):
+        return None
+    if c.kind in ("url", "login", "scheme") or (c.kind == "pair" and named) or (c.kind == "whole" and len(v) >= 20):
         return True
-    if len(c.value) >= 8 and re.search(r"[a-z]", c.value) and re.search(r"[A-Z]", c.value[1:]) and re.search(r"[^\w\s]", c.value):
+    if c.kind == "query" and len(v) >= 16 and name.lower() in ("key", "access", "code", "apikey"):
         return True
-    return None
+    return True if c.kind == "quoted" and named and digits and (len(v) >= 20 or re.search(r"(?i)pass|pwd", name)) else None
 
 
 def _snake(name: str) -> str:
@@ -270,18 +274,33 @@ def _bucket(x: float, step: float, low: float, high: float) -> int:
     return int(max(low, min(high, x)) / step)
 
 
+@dataclass
 class Model:
-    """Two character chains, the weights, and the calibration of the score."""
+    """Two character chains, the weights, the calibration of the score, and how the model did on what it was not fitted to.
+
+    ``report`` has, over the candidates held out: their number, the share of weak labels that the decision agrees with, the
+    mean difference of probability and label in each tenth of probability weighed by its candidates, and the candidates of
+    the sample that have no label.
+    """
+
+    chains: tuple[dict, dict]
+    weights: dict[int, float]
+    calibration: tuple[float, float]
+    report: dict = field(default_factory=dict)
+    _memory: dict = field(default_factory=dict, repr=False)
 
-    def __init__(self, chains: tuple[dict, dict], weights: dict[int, float], calibration: tuple[float, float]):
-        self.chains, self.weights, self.calibration = chains, weights, calibration
+    def weight(self, f: str) -> float:
+        w = self._memory.get(f)
+        if w is None:
+            if len(self._memory) > 200_000:
+                self._memory.clear()
+            w = self._memory[f] = self.weights.get(_slot(f), 0.0)
+        return w
 
     def probability(self, c: Candidate, path: str) -> float:
-        if c.certain:
-            return 1.0
-        s = sum(self.weights.get(_slot(f), 0.0) for f in features(c, path, self.chains))
         a, b = self.calibration
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, a * s + b))))
+        s = a * sum(map(self.weight, features(c, path, self.chains))) + b
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, s))))
 
 
 def _slot(f: str) -> int:
@@ -294,78 +313,129 @@ def _class(ch: str) -> str:
     return ch if ch.isascii() else "~"
 
 
+def _pairs_of(value: str) -> Iterator[str]:
+    prev = "^"
+    for ch in value + "$":
+        ch = _class(ch)
+        yield prev + ch
+        prev = ch
+
+
 def _chain(values: list[str]) -> dict[str, float]:
     """Log probabilities of character pairs, smoothed over 96 characters."""
-    pair: dict[str, float] = defaultdict(float)
-    first: dict[str, float] = defaultdict(float)
-    for v in values:
-        prev = "^"
-        for ch in v + "$":
-            pair[prev + _class(ch)] += 1
-            first[prev] += 1
-            prev = _class(ch)
+    return _chain_of(Counter(p for v in values for p in _pairs_of(v)))
+
+
+def _chain_of(pair: dict[str, float]) -> dict[str, float]:
+    first: Counter = Counter()
+    for p, n in pair.items():
+        first[p[0]] += n
     out = {p: math.log((n + 0.5) / (first[p[0]] + 48)) for p, n in pair.items()}
     out[""] = math.log(0.5 / 60)
     return out
 
 
 def _likelihood(value: str, chain: dict[str, float]) -> float:
-    prev, total, floor = "^", 0.0, chain[""]
-    v = value + "$"
-    for ch in v:
-        ch = _class(ch)
-        total += chain.get(prev + ch, floor)
-        prev = ch
-    return total / len(v)
+    floor = chain[""]
+    return sum(chain.get(p, floor) for p in _pairs_of(value)) / (len(value) + 1)
+
+
+def _kind_of(ch: str) -> str:
+    return "A" if ch.isupper() else "a" if ch.islower() else "0" if ch.isdigit() else " " if ch.isspace() else _class(ch)
 
 
 def features(c: Candidate, path: str, chains: tuple[dict, dict]) -> list[str]:
+    """What the regression sees of a candidate; none of the labelling patterns is among it."""
     v = c.value
-    ratio = _bucket(_likelihood(v, chains[0]) - _likelihood(v, chains[1]), 0.25, -4, 4)
-    snake = _snake(c.name)
+    n = len(v)
+    per_char = _likelihood(v, chains[0]) - _likelihood(v, chains[1])
+    r, sum_r = _bucket(per_char, 0.25, -4, 4), _bucket(per_char * min(n, 40), 4, -60, 60)
+    classes = [_kind_of(ch) for ch in v]
+    runs = [k for i, k in enumerate(classes) if not i or classes[i - 1] != k]
+    upper, lower, digit = classes.count("A"), classes.count("a"), classes.count("0")
+    mix = "".join(str(min(3, 4 * k // n)) for k in (upper, lower, digit, n - upper - lower - digit))
+    length, turns = min(24, int(math.log2(n + 1) * 3)), min(8, len(runs) * 8 // n)
+    hexadecimal = all(ch in "0123456789abcdef" for ch in v) or all(ch in "0123456789ABCDEF" for ch in v)
+    edge = lambda ch: _kind_of(ch)
+    said = [w.lower() for w in re.findall(r"[A-Za-z]{2,20}", v)]
     words = [w.lower() for w in _WORDS.findall(c.name)]
-    other, secret = bool(_OTHER_NAME.search(snake)), bool(_SECRET_NAME.search(snake))
-    form = (
-        "stand-in" if _STAND_IN.match(v) else "other" if _OTHER_FORM.match(v) else "issued" if _ISSUED.fullmatch(v) else "hex" if re.fullmatch(r"[0-9a-f]{20,}", v) else "phrase" if " " in v.strip()
-        else "word" if re.fullmatch(r"[A-Za-z]+", v) else "dotted" if re.fullmatch(r"[A-Za-z]+(?:[._/][A-Za-z]+)+", v) else "number" if v.isdigit() else "mixed" if re.search(r"\d", v) else "letters"
-    )
-    place = f"{c.kind}|{'other' if other else 'secret' if secret else 'none'}"
+    joined, last = "".join(words), words[-1] if words else ""
+    decoded = _plain_basic(v) if c.kind == "scheme" else None
     extension = path.rsplit(".", 1)[-1].lower()[:12] if "." in path else ""
     stem = re.sub(r"\d+", "0", path.rsplit("/", 1)[-1].split(".")[0].lower())[:20]
     return [
-        "bias", f"r={ratio}", f"form={form}", f"place={place}", f"{form}|{place}", f"r={ratio}|{'other' if other else 'secret' if secret else 'none'}", f"len={min(20, len(v) // 3)}",
-        f"ext={extension}", f"stem={stem}", f"name={snake.lower()[-24:]}", *(f"w={w}" for w in words[-6:]), f"basic={c.name == 'basic' and ':' in (_plain_basic(v) or '')}|{c.name == 'basic'}",
+        "bias", f"r={r}", f"sum={sum_r}", f"mix={mix}", f"len={length}", f"turns={turns}", f"turns={turns}|{length}", f"ends={edge(v[0])}{edge(v[-1])}", f"set={''.join(sorted(set(runs)))}",
+        f"runs={''.join(runs) if len(runs) < 6 else len(runs) // 4}", f"start={v[:3].lower()}", f"said={min(6, len(said))}|{turns}", f"hex={hexadecimal}|{length}", f"hex={hexadecimal}|{last}",
+        f"kind={c.kind}", f"kind={c.kind}|{r}", f"kind={c.kind}|{mix}", f"ext={extension}", f"stem={stem}", f"name={joined}", f"name={joined}|{r > 0}", f"last={last}|{r}", f"last={last}|{c.kind}",
+        f"decoded={decoded is not None and ':' in decoded}|{c.name == 'basic'}", *(f"w={w}" for w in words), *(f"v={w}" for w in said), *(f"g={joined[i : i + 4]}" for i in range(max(1, len(joined) - 3))),
     ]
 
 
-def fit(texts: DataFrame) -> Model:
-    """A model from a bounded sample of ``texts`` (field, path, text); the same texts give the same model."""
-    sample = (
-        texts.filter(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-        .select("field", F.coalesce("path", F.lit("")).alias("path"), "text", F.xxhash64("text", "field").alias("h"))
-        .dropDuplicates(["field", "text"]).orderBy("h", "field", "text").limit(SAMPLE_TEXTS)
-    )
-
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_LABELLED = "h bigint, path string, name string, kind string, value string, y int"
+
+
+def _labelled(sample: DataFrame) -> DataFrame:
+    """The candidates of the sample with their weak labels (1, 0 or -1 for none)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for field, path, text, h in zip(*(c.to_pylist() for c in b.columns)):
-                rows += [(h, c.start, c.end, path, c.name, c.kind, c.value, y) for c in candidates(text, field) if not c.certain and (y := weak_label(c)) is not None]
-            columns = list(zip(*rows)) if rows else [[]] * 8
-            kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 4, pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["h", "s", "e", "path", "name", "kind", "value", "y"])
+            for text_field, path, text, h in zip(*(c.to_pylist() for c in b.columns)):
+                for c in candidates(text, text_field):
+                    y = weak_label(c)
+                    rows.append((h, path, c.name, c.kind, c.value, -1 if y is None else int(y)))
+            columns = list(zip(*rows)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), *[pa.string()] * 4, pa.int32()])], ["h", "path", "name", "kind", "value", "y"])
 
-    rows = cut(sample).repartition(texts.sparkSession.sparkContext.defaultParallelism).mapInArrow(label, "h bigint, s int, e int, path string, name string, kind string, value string, y boolean").collect()
-    labelled = [(Candidate(r.s, r.e, r.name, r.kind, r.value), r.path, r.y, r.h) for r in sorted(rows)]
-    train = [x for x in labelled if x[3] % 5]
-    held = [x for x in labelled if not x[3] % 5]
-    chains = (_chain([c.value for c, _, y, _ in train if y]), _chain([c.value for c, _, y, _ in train if not y]))
-    rows = [[_slot(f) for f in features(c, p, chains)] for c, p, _, _ in train]
-    from strataq.llm.sentences import _logistic
+    return sample.mapInArrow(run, _LABELLED)
 
-    weights = _logistic(rows, [float(y) for _, _, y, _ in train], rounds=120, dim=_DIM, balanced=False)
-    scores = np.array([sum(weights.get(_slot(f), 0.0) for f in features(c, p, chains)) for c, p, _, _ in held])
-    return Model(chains, weights, _platt(scores, np.array([float(y) for _, _, y, _ in held])))
+
+def fit(texts: DataFrame) -> Model:
+    """A model from a bounded sample of ``texts`` (field, path, text), chosen by the hash of the text: the same texts give the
+    same model. Labels, chain counts and features are made on the executors; the driver gets hashed features alone."""
+    from strataq.llm.sentences import _logistic, sample_of
+
+    some = texts.filter(F.length("text").between(1, SAMPLE_CHARS)).select("field", F.coalesce("path", F.lit("")).alias("path"), "text")
+    sample = sample_of(some, "text", SAMPLE_TEXTS).withColumn("h", F.xxhash64("text", "field")).repartition(texts.sparkSession.sparkContext.defaultParallelism)
+    found = cut(_labelled(sample))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        for b in batches:
+            for v, y in zip(*(c.to_pylist() for c in b.columns)):
+                n.update((y, p) for p in _pairs_of(v))
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.int32()), pa.array([k[1] for k in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["y", "pair", "n"])
+
+    trained = found.filter((F.col("y") >= 0) & (F.pmod("h", F.lit(5)) != 0))
+    pairs: tuple[Counter, Counter] = (Counter(), Counter())
+    for r in trained.select("value", "y").mapInArrow(count, "y int, pair string, n bigint").groupBy("y", "pair").agg(F.sum("n").alias("n")).collect():
+        pairs[r.y][r.pair] = r.n
+    chains = (_chain_of(pairs[1]), _chain_of(pairs[0]))
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, path, name, kind, value, y = (c.to_pylist() for c in b.columns)
+            out = [sorted({_slot(f) for f in features(Candidate(0, 0, n, k, v), p, chains)}) for p, n, k, v in zip(path, name, kind, value)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32())), b.column(5)], ["h", "slots", "y"])
+
+    rows = found.filter("y >= 0").mapInArrow(slots, "h bigint, slots array<int>, y int").groupBy("h", "slots", "y").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    rows["key"] = [str(list(x)) for x in rows["slots"]]
+    rows = rows.sort_values(["h", "key", "y"], kind="stable")
+    rows = rows.loc[rows.index.repeat(rows["n"])]
+    train, held = rows[rows["h"] % 5 != 0], rows[rows["h"] % 5 == 0]
+    if not len(train) or not train["y"].any():
+        return Model(chains, {}, (1.0, -5.0))  # nothing to learn from: nothing is a credential
+    weights = _logistic([list(x) for x in train["slots"]], train["y"].astype(float).tolist(), rounds=300, dim=_DIM, balanced=False)
+    scores = np.array([sum(weights.get(int(k), 0.0) for k in x) for x in held["slots"]])
+    labels = held["y"].to_numpy(float)
+    calibration = _platt(scores, labels)
+    report = {"held out": len(held), "without a label": found.filter("y < 0").count(), "labelled": len(rows)}
+    if len(held):
+        p = 1 / (1 + np.exp(-np.clip(calibration[0] * scores + calibration[1], -50, 50)))
+        tenth = np.minimum((p * 10).astype(int), 9)
+        gaps = [abs(p[tenth == k].mean() - labels[tenth == k].mean()) * (tenth == k).sum() for k in range(10) if (tenth == k).any()]
+        report |= {"agreement": float(((p >= THRESHOLD) == labels).mean()), "calibration error": float(sum(gaps) / len(held))}
+    return Model(chains, weights, calibration, report)
 
 
 def _platt(scores: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
@@ -390,17 +460,20 @@ def credentials_in(text: str, field: str, path: str, model: Model) -> list[tuple
     out: list[tuple[int, int, float]] = []
     scored = sorted(((model.probability(c, path), c) for c in candidates(text, field)), key=lambda x: (-x[0], x[1].end - x[1].start, x[1].start))
     for p, c in scored:
-        if p >= THRESHOLD and not (_STAND_IN.match(c.value) or _OTHER_FORM.match(c.value)) or c.certain:
+        if p >= THRESHOLD:
             if all(c.end <= s or c.start >= e for s, e, _ in out):
                 out.append((c.start, c.end, p))
     return sorted(out)
 
 
 def mask(text: str, spans: list[tuple[int, int, float]]) -> str:
-    """The text with each credential, line breaks apart, replaced by as many asterisks; all else stays in its place."""
+    """The text with each credential, line breaks apart, replaced by as many letters x; all else stays in its place.
+
+    Letters, since bare asterisks would be an alias in YAML; a bare or quoted word of them parses wherever a value did.
+    """
     out, at = [], 0
     for s, e, _ in spans:
-        out += [text[at:s], re.sub(r"[^\r\n]", "*", text[s:e])]
+        out += [text[at:s], re.sub(r"[^\r\n]", "x", text[s:e])]
         at = e
     return "".join([*out, text[at:]])
 
@@ -434,6 +507,23 @@ def found(texts: DataFrame, model: Model | None = None) -> DataFrame:
     return some.mapInArrow(run, "field string, row_id bigint, start_pos int, end_pos int, probability double").distinct()
 
 
+def decided(texts: DataFrame, model: Model | None = None) -> DataFrame:
+    """field, row_id, start_pos, kind, label: the credentials of ``found`` with what the patterns say (1, 0 or -1 for nothing)."""
+    fitted = model or fit(texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for text_field, key, path, text in zip(*(c.to_pylist() for c in b.columns)):
+                spans = {(s, e) for s, e, _ in credentials_in(text, text_field, path or "", fitted)}
+                rows += [(text_field, key, c.start, c.kind, -1 if (y := weak_label(c)) is None else int(y)) for c in (candidates(text, text_field) if spans else ()) if (c.start, c.end) in spans]
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int32()])], ["field", "row_id", "start_pos", "kind", "label"])
+
+    some = spread(texts.select("field", F.col("row_id").cast("bigint"), "path", "text").filter(F.length("text") > 0))
+    return some.mapInArrow(run, "field string, row_id bigint, start_pos int, kind string, label int").distinct()
+
+
 def redacted(texts: DataFrame, model: Model | None = None) -> DataFrame:
     """field, row_id, n_masked, text: every text of ``texts`` with its credentials masked, and how many there were."""
     fitted = model or fit(texts)

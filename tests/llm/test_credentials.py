@@ -47,10 +47,39 @@ def unmark(text):
     return out, [tuple(s) for s in spans]
 
 
+def corpus(rnd):
+    """Texts as a corpus has them: many names, places and values; no marked text is among them as it stands."""
+    pick = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHJKLMNPQRSTUVWXYZ", "0123456789"
+    word = lambda: rnd.choice("maple birch cedar alder hazel rowan elder aspen holly juniper willow laurel".split())
+    strong = lambda: rnd.choice([pick(lower + upper + digits, rnd.randrange(10, 40)), pick("0123456789abcdef", 40), "ghp_" + pick(lower + upper + digits, 36), pick(lower + upper + digits + "+/", 43) + "=", "/" + pick(lower + upper + digits, 14), pick(lower, 3) + "-" + pick(lower + digits, 30), "AGE-" + pick(upper + digits, 30)])
+    weak = lambda: rnd.choice([word() + pick(digits, 5), word().title() + pick(digits, 2) + rnd.choice("*!#"), f"{word()}-{word()}-{pick(digits, 2)}", word()[:3] + pick(digits, 3) + rnd.choice("_*~") + word()[:2]])
+    empty = lambda: rnd.choice(
+        ["REPLACE_ME", "changeme", "<your-key>", "${SECRET}", "${PASSWD}", "****", "xxxxxxxxxxxx", "your-token-here", "vault:kv/app#KEY", "process.env.KEY", f"/run/secrets/{word()}", f"/etc/ssl/{word()}{pick(digits, 1)}{pick(upper, 1)}.pem", f"/v{pick(digits, 1)}/{word()}Tokens/{word()}", f"/srv/{word()}/{word()}-key_{pick(digits, 1)}.pem", f"/API/{word()}.json", f"/{word()}/{word()}.{word()}", "sk_live_" + "x" * rnd.randrange(12, 30)]
+    )
+    secret = "password passwd pwd dbPass token api_key apiKey authToken secret client_secret webhook_secret licenseKey MASTER_KEY smtp_pw signingKey".split()
+    other = "etag commit revision build_id name title path checksum label image region theme locale".split()
+    rows = []
+    for i in range(4000):
+        named = rnd.random() < 0.6
+        name = rnd.choice(secret if named else other)
+        value = rnd.choice([strong, weak, empty])() if named else rnd.choice([pick("0123456789abcdef", 40), word(), f"{word()}-{word()}", pick(digits, 4), "v1.2." + pick(digits, 2)])
+        form = rnd.choice(['{0} = "{1}"', "const {0} = '{1}';", 'X = {{"{0}": "{1}", "n": 3}}', "{0}={1}", "{0}: {1}", "# was: {0}={1}", "// old {0}: {1}", '<add key="{0}" value="{1}" />', "- name: {0}\n  value: {1}", 'opts.{0} = "{1}";'])
+        if named and rnd.random() < 0.3:
+            form = rnd.choice(["RUN curl -u svc:{1} https://a.example/api", "url = 'postgres://app:{1}@db.test/x'", "c = 'Server=a.test;User Id=b;Password={1};'", "client.login('svc', '{1}')", "Authorization: Bearer {1}", "pem = '-----BEGIN RSA PRIVATE KEY-----\\n{1}\\n-----END RSA PRIVATE KEY-----'"])
+        rows.append(("secret", form.format(name, value)))
+    for i in range(400):
+        key = pick(lower + upper + digits, 24)
+        rows.append(("stripe.key", rnd.choice(["sk_live_" + key, "sk_test_" + key, "sk_live_" + "x" * rnd.randrange(12, 30), "pk_live_" + key, "acct_" + key[:14], "vault:kv/app#KEY", pick(lower + upper + digits + "_", 35)])))
+        rows.append(("connectionstrings.shop", rnd.choice(["Server=a.test;UID=b;Pwd={0};", "postgresql://a:{0}@h/x", "Endpoint=sb://a/;SharedAccessKeyName=Root;SharedAccessKey={0}", 'Server=a.test;Password="{0}";']).format(rnd.choice([strong, weak, lambda: "l0ng" + pick(digits, 1) + word() + pick(digits, 1), empty])())))
+    return rows
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     rnd = random.Random(1)
     rows = [(f, i * 100 + k, "app/config.py", unmark(vary(t, rnd))[0]) for i, (f, t) in enumerate(MARKED) for k in range(25)]
+    rows += [(f, i, "app/config.py", t) for i, (f, t) in enumerate(corpus(rnd))]
     return C.fit(spark.createDataFrame(rows, "field string, row_id bigint, path string, text string"))
 
 
@@ -72,7 +101,7 @@ def test_tables(spark, model):
     texts = C.texts_of(settings, src)
     assert {(r.field, r.row_id, r.start_pos, r.end_pos) for r in C.found(texts, model).collect()} == {("connectionstrings.shop", 2, 15, 26), ("secret", 9, 12, 28)}
     red = {(r.field, r.row_id): (r.n_masked, r.text) for r in C.redacted(texts, model).collect()}
-    assert red["connectionstrings.shop", 2] == (1, "postgresql://a:***********@h/x") and red["stripe.key", 1][0] == 0 and len(red) == 5
+    assert red["connectionstrings.shop", 2] == (1, "postgresql://a:xxxxxxxxxxx@h/x") and red["stripe.key", 1][0] == 0 and len(red) == 5
     assert C.found(texts.limit(0), model).count() == 0
 
 
@@ -101,3 +130,42 @@ def test_secret_of_a_long_address(model):
 def test_likelihood_of_the_whole_value():
     chain = C._chain(["ab" * 60])
     assert C._likelihood("ab" * 40 + "zq" * 40, chain) < C._likelihood("ab" * 80, chain)
+
+
+def test_report_of_the_model(model):
+    r = model.report
+    assert r["held out"] > 500 and r["agreement"] > 0.97 and r["calibration error"] < 0.03 and r["without a label"] > 100
+
+
+def test_patterns_are_no_features(monkeypatch, model):
+    """What labels a value has no say in its score."""
+    c = C.candidates('db_password = "Kestrel77b_x"', "secret")[0]
+    before = model.probability(c, "a.py")
+    for name in ("_ISSUED", "_SECRET_NAME", "_OTHER_NAME", "_STAND_IN", "_OTHER_FORM"):
+        monkeypatch.setattr(C, name, re.compile("(?!)"))
+    assert model.probability(c, "a.py") == before
+
+
+def test_model_finds_what_no_pattern_labels(model):
+    text = "OPTIONS = {'webhook_secret': 'lantern-otter-35'}"
+    assert all(C.weak_label(c) is None for c in C.candidates(text, "secret")) and [text[s:e] for s, e, _ in C.credentials_in(text, "secret", "app/config.py", model)] == ["lantern-otter-35"]
+
+
+def test_without_labels_nothing_is_found(spark):
+    rows = spark.createDataFrame([("secret", 1, "a.py", "title = 'word'")], "field string, row_id bigint, path string, text string")
+    assert C.found(rows).count() == 0
+
+
+def test_masked_text_still_parses(model):
+    import ast
+    import json
+
+    yaml = "name: a\npassword: Kestrel1688!\nitems:\n  - name: api_key\n    value: sabl3_194x\n"
+    spans = C.credentials_in(yaml, "secret", "a.yaml", model)
+    masked = C.mask(yaml, spans)
+    assert len(spans) == 2 and not re.search(r":[ ]*[*&!|>%@`]", masked) and [line.split(":")[0] for line in masked.split("\n")] == [line.split(":")[0] for line in yaml.split("\n")]
+    python = "token = 'ghp_h0wxcn3aICVRETJw9KoZIY0fur5jR8XwYj6Z'\nd = {'password': 'lantern60435'}\n"
+    assert ast.literal_eval(ast.parse(C.mask(python, C.credentials_in(python, "secret", "a.py", model))).body[1].value) == {"password": "x" * 12}
+    config = '{"auth": {"apiKey": "ghp_h0wxcn3aICVRETJw9KoZIY0fur5jR8XwYj6Z", "pem": "-----BEGIN EC PRIVATE KEY-----\\nMIIabc\\n-----END EC PRIVATE KEY-----"}}'
+    out = json.loads(C.mask(config, C.credentials_in(config, "secret", "a.json", model)))
+    assert set(out["auth"]["apiKey"]) == {"x"} and set(out["auth"]["pem"]) == {"x"}
