@@ -1,9 +1,10 @@
 """Passages of a stated set of evaluation texts inside a corpus: a prefix-filtered set join over word shingles.
 
 The evaluation texts are the query set: it is sent to all tasks in blocks of bounded size, and the corpus, which is
-never shuffled, passes by each block. For every window that a case must contain, the rarest shingles are chosen, by
-their document counts in the whole corpus, just so many that any match within the allowed replacements
-keeps one of them. Texts that hold a chosen shingle are aligned with the item there and verified exactly.
+never shuffled, passes by each block once. The pass counts in how many texts each shingle of the block stands and keeps, as
+hashes of their words, the texts with as many of them as the least match has. For every window that a case must contain, the
+rarest shingles are chosen, by their counts in the whole corpus, just so many that any match within the allowed replacements
+keeps one of them. Kept texts that hold a chosen shingle are aligned with the item there and verified exactly.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.operators.scale import spread
+from strataq.operators.scale import cut, spread
 
 #: Characters of evaluation text that go to the tasks at once.
 BLOCK_CHARS = 2_000_000
@@ -33,7 +34,7 @@ _TAGS = re.compile(r"</?[a-zA-Z][^<>\n]{0,200}>")
 _TOKEN = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n\s*\n")
 _HAN = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
-_HIDDEN = {c: None for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf"}
+_HIDDEN = re.compile("[" + "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf") + "]")
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 
@@ -55,6 +56,10 @@ class Rule:
         """Shingles of a window of which a match keeps at least one: all but those it surely keeps, plus one."""
         return length - self.shingle + 1 - max(1, length - self.shingle + 1 - replaced * self.shingle) + 1
 
+    def sure(self) -> int:
+        """Places of shingles of the item that any match has."""
+        return min(max(1, length - self.shingle + 1 - replaced * self.shingle) for length, replaced in self.windows)
+
 
 WORDS = Rule(12, 5, 3, ((12, 2), (15, 3), (20, 4)))
 CHARACTERS = Rule(20, 0, 5, ((20, 0),))
@@ -67,7 +72,7 @@ def words(text: str) -> list[str]:
     if "<" in text:
         text = _TAGS.sub(" ", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).translate(_HIDDEN)
+        text = _HIDDEN.sub("", text if unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text))
     return _TOKEN.findall(text.casefold())
 
 
@@ -192,20 +197,54 @@ def _blocks(items: DataFrame) -> list[_Block]:
     return blocks
 
 
-def _shingle_counts(docs: DataFrame, block: _Block) -> dict[int, int]:
-    """In how many texts each shingle of the block stands, over the whole corpus; as many numbers as the block has shingles."""
+_PASSED = "h bigint, n bigint, doc_id {0}, chars boolean, tokens array<bigint>"
+
+
+def _pass(docs: DataFrame, block: _Block) -> DataFrame:
+    """One pass of the corpus: rows (h, n), in how many texts of a task a shingle of the block stands, and rows (doc_id,
+    chars, tokens), the texts with as many places of such shingles as a match has at least, as hashes of their tokens.
+
+    A text with fewer places cannot hold a case, so none is lost.
+    """
     wanted = {rule: block.wanted(rule) for rule in (WORDS, CHARACTERS)}
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory, n, kept = _Hash(), Counter(), []
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, n = _Hash(), Counter()
+        def rows(h, counts, ids, rules, tokens, key):
+            sizes = np.cumsum([0, *([0] * len(h)), *map(len, tokens)])
+            flat = np.concatenate([np.empty(0, np.uint64), *tokens]).view(np.int64)
+            none = [None] * len(ids)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([*h, *none], pa.int64()), pa.array([*counts, *none], pa.int64()), pa.array([None] * len(h) + ids, key), pa.array([None] * len(h) + rules, pa.bool_()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))],
+                ["h", "n", "doc_id", "chars", "tokens"],
+            )
+
+        key = None
         for b in batches:
-            for text in b.column(0).to_pylist():
+            key, ids, rules, tokens = b.schema.field(0).type, [], [], []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for rule, h in _tokenised(text, memory, len(wanted[CHARACTERS]) > 0, len(wanted[WORDS]) > 0):
-                    s = np.unique(_shingles(h, rule.shingle))
-                    n.update(s[_member(s, wanted[rule])].tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(n, np.uint64, len(n)).view(np.int64)), pa.array(list(n.values()), pa.int64())], ["h", "n"])
-
-    counted = docs.select("text").filter(F.col("text").isNotNull()).mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+                    s = _shingles(h, rule.shingle)
+                    there = s[_member(s, wanted[rule])]
+                    if len(there):
+                        n.update(np.unique(there).tolist())
+                    if len(there) >= rule.sure():
+                        ids.append(doc)
+                        rules.append(rule == CHARACTERS)
+                        tokens.append(h)
+            if ids:
+                yield rows([], [], ids, rules, tokens, key)
+        if n:
+            yield rows(np.fromiter(n, np.uint64, len(n)).view(np.int64).tolist(), list(n.values()), [], [], [], key)
+
+    return docs.mapInArrow(run, _PASSED.format(kind))
+
+
+def _shingle_counts(passed: DataFrame) -> dict[int, int]:
+    """The document counts of the block's shingles over the whole corpus; as many numbers as the block has shingles."""
+    counted = passed.filter(F.col("h").isNotNull()).groupBy("h").agg(F.sum("n").alias("n"))
     return {int(np.int64(r.h).view(np.uint64)): r.n for r in counted.toLocalIterator()}
 
 
@@ -228,37 +267,42 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     kind = {f.name: f.dataType.simpleString() for f in [*docs.schema, *items.schema] if f.name in ("doc_id", "item_id")}
     schema = f"item_id {kind['item_id']}, doc_id {kind['doc_id']}, first_word int, last_word int"
     texts = spread(docs.select("doc_id", "text").filter(F.col("text").isNotNull()))
-    parts = [_found(texts, block, _shingle_counts(texts, block), schema) for block in _blocks(items)]
+    parts = []
+    for block in _blocks(items):
+        passed = cut(_pass(texts, block))
+        parts.append(_found(passed.filter(F.col("h").isNull()).select("doc_id", "chars", "tokens"), block, _shingle_counts(passed), schema))
     every = reduce(DataFrame.unionByName, parts)
     return every.groupBy("item_id", "doc_id").agg(F.min(F.struct("first_word", "last_word")).alias("at")).select("item_id", "doc_id", "at.first_word", "at.last_word")
 
 
-def _found(texts: DataFrame, block: _Block, counts: dict[int, int], schema: str) -> DataFrame:
+def _found(kept: DataFrame, block: _Block, counts: dict[int, int], schema: str) -> DataFrame:
     chosen = {rule: block.prefixes(rule, counts) for rule in (WORDS, CHARACTERS)}
     items = block.items
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _Hash()
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for rule, h in _tokenised(text, memory, len(chosen[CHARACTERS][0]) > 0, len(chosen[WORDS][0]) > 0):
-                    keys, places = chosen[rule]
-                    s = _shingles(h, rule.shingle)
-                    tried: set[tuple[int, int]] = set()
-                    done: set[int] = set()
-                    for at in np.flatnonzero(_member(s, keys)).tolist():
-                        for n, start in places[int(s[at])]:
-                            if n in done or (n, at - start) in tried:
-                                continue
-                            tried.add((n, at - start))
-                            if passage := _contains(items[n], h, at - start):
-                                done.add(n)
-                                rows.append((items[n].item_id, doc, passage[0], passage[1] - 1))
+            lists = b.column(2)
+            at_of, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            for i, (doc, chars) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                h = flat[at_of[i] : at_of[i + 1]]
+                rule = CHARACTERS if chars else WORDS
+                keys, places = chosen[rule]
+                s = _shingles(h, rule.shingle)
+                tried: set[tuple[int, int]] = set()
+                done: set[int] = set()
+                for at in np.flatnonzero(_member(s, keys)).tolist():
+                    for n, start in places[int(s[at])]:
+                        if n in done or (n, at - start) in tried:
+                            continue
+                        tried.add((n, at - start))
+                        if passage := _contains(items[n], h, at - start):
+                            done.add(n)
+                            rows.append((items[n].item_id, doc, passage[0], passage[1] - 1))
             columns = list(zip(*rows)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int64()), pa.array(columns[1], b.schema.field(0).type), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())],
                 ["item_id", "doc_id", "first_word", "last_word"],
             )
 
-    return texts.mapInArrow(find, schema)
+    return kept.mapInArrow(find, schema)
