@@ -54,9 +54,10 @@ def path_pattern(raw: Column) -> Column:
 
 
 def first_sentence(text: Column, limit: int = 160) -> Column:
-    """What stands before the first end mark that a space follows, on one line, at most ``limit`` characters."""
+    """The text on one line up to and with its first end mark that a space or the end follows, at most ``limit`` characters;
+    all of it without such a mark. No space at either end."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.substring(F.regexp_extract(flat, r"^(.*?[.!?])(?: |$)|^(.*)$", 0), 1, limit)
+    return F.rtrim(F.substring(F.coalesce(F.nullif(F.regexp_extract(flat, r"^(.*?[.!?])(?: |$)", 1), F.lit("")), flat), 1, limit))
 
 
 def clip(text: Column, limit: int) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from strataq.operators.scale import cut, sized_join
+from strataq.operators.scale import BROADCAST_BYTES, cut, measured, sized_join
 
 #: The order in which kinds are listed, and the score of a match in a search.
 KIND_ORDER = ["app", "zone", "module", "file", "type", "function", "endpoint", "service", "store"]
@@ -16,9 +16,18 @@ WORLD_KINDS = ["store", "service", "endpoint"]
 
 
 def live_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges both of whose ends are nodes; null ends are none. Two semi joins, in which a hot end is one row of the build side."""
-    ids = nodes.select(F.col("id").alias("__id")).filter(F.col("__id").isNotNull()).distinct()
-    return edges.join(ids.withColumnRenamed("__id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("__id", "to_id"), "to_id", "left_semi")
+    """Edges both of whose ends are nodes; null ends are none.
+
+    The distinct ends, combined before any shuffle, are checked against the nodes, and what is missing among them, by key and
+    salted where an end is hot, takes its edges away.
+    """
+    ids = nodes.select(F.col("id").alias("end")).filter(F.col("end").isNotNull()).distinct()
+    whole = edges.filter(F.col("from_id").isNotNull() & F.col("to_id").isNotNull())
+    ends = whole.select(F.explode(F.array("from_id", "to_id")).alias("end")).distinct()
+    gone = cut(ends.join(ids, "end", "left_anti").withColumn("__gone", F.lit(True)))
+    for side in ("from_id", "to_id"):
+        whole = sized_join(whole, gone.select(F.col("end").alias(side), "__gone"), side, "left").filter(F.col("__gone").isNull()).drop("__gone").select(*edges.columns)
+    return whole
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
@@ -65,6 +74,29 @@ def outside_flows(path_rows: DataFrame, edges: DataFrame, level: str) -> DataFra
     return out.unionByName(inn).groupBy("child", "direction").agg(F.sum("weight").alias("weight"))
 
 
+def world_flows(path_rows: DataFrame, nodes: DataFrame, edges: DataFrame, level: str, limit: int = 8) -> DataFrame:
+    """world_id, child, direction, weight, kinds, total, place: relations of a level's children with the world outside it.
+
+    The far end counts as its nearest ancestor-or-self that is a store, service or endpoint; without one, or if that is the
+    level or one of its children, there is none. ``total`` is the weight of all flows of a world node; those of the ``limit``
+    heaviest, the first by id among equals, come out.
+    """
+    child = cut(children_of_level(path_rows, level))
+    of_kind = nodes.filter(F.col("kind").isin(WORLD_KINDS)).select(F.col("id").alias("ancestor_id")).distinct()
+    world = cut(closure(path_rows).join(of_kind, "ancestor_id").groupBy("node_id").agg(F.min_by("ancestor_id", "distance").alias("world_id")))
+    rel = edges.filter((F.col("kind") != "contains") & F.col("from_id").isNotNull() & F.col("to_id").isNotNull()).select("kind", "from_id", "to_id", "weight")
+    a = sized_join(rel, child.select(F.col("node_id").alias("from_id"), F.col("child").alias("cf")), "from_id", "left")
+    b = sized_join(a, child.select(F.col("node_id").alias("to_id"), F.col("child").alias("ct")), "to_id", "left")
+    crossing = b.filter(F.col("cf").isNull() != F.col("ct").isNull())
+    out = F.col("cf").isNotNull()
+    far = crossing.select(F.when(out, F.col("to_id")).otherwise(F.col("from_id")).alias("node_id"), F.coalesce("cf", "ct").alias("child"), F.when(out, "out").otherwise("in").alias("direction"), "kind", "weight")
+    met = sized_join(far, world, "node_id").join(F.broadcast(child.select(F.col("child").alias("world_id")).distinct()) if measured(child)[1] <= BROADCAST_BYTES else child.select(F.col("child").alias("world_id")).distinct(), "world_id", "left_anti").filter(F.col("world_id") != level)
+    flows = met.groupBy("world_id", "child", "direction").agg(F.sum("weight").alias("weight"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+    totals = flows.groupBy("world_id").agg(F.sum("weight").alias("total")).orderBy(F.desc("total"), "world_id").limit(limit)
+    placed = totals.withColumn("place", F.row_number().over(W.orderBy(F.desc("total"), "world_id")))  # at most ``limit`` rows
+    return flows.join(F.broadcast(placed), "world_id")
+
+
 def nearest_of_kind(path_rows: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
     """node_id, nearest_id: the nearest ancestor-or-self of a kind. Nodes without one have no row."""
     of_kind = nodes.filter(F.col("kind") == kind).select(F.col("id").alias("ancestor_id")).distinct()
@@ -117,11 +149,13 @@ def reach(edges: DataFrame, starts: DataFrame, hops: int, kind: str = "reference
     return seen.filter("hops > 0")
 
 
-def rank(nodes: DataFrame, links: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
+def rank(nodes: DataFrame, links: DataFrame, rounds: int = 50, damping: float = 0.85, tolerance: float = 1e-7, one_task: int = BROADCAST_BYTES) -> DataFrame:
     """id, score: PageRank over ``links`` (src, dst; repeated links count twice), scores of sinks spread evenly.
 
-    Links from a node to itself or to no node do not count. Each round is one shuffled join and an aggregation; the
-    lineage is cut every five rounds.
+    It stops after ``rounds`` rounds, or once a round moves all scores together by less than ``tolerance``. Links from a node to
+    itself or to no node do not count. Links that measure at most ``one_task`` bytes are ranked in one task; beyond, each
+    round is one join by key, one aggregation and a cut of the lineage, so the plan does not grow, and the two sums that the
+    next round needs are the one row that comes to the driver.
     """
     ids = nodes.select("id").filter(F.col("id").isNotNull()).distinct()
     e = links.filter(F.col("src") != F.col("dst")).join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
@@ -129,22 +163,47 @@ def rank(nodes: DataFrame, links: DataFrame, rounds: int = 20, damping: float =
     degree = e.groupBy("src").agg(F.sum("m").alias("out"))
     e = cut(e.join(degree, "src").select("src", "dst", (F.col("m") / F.col("out")).alias("share")))
     state = cut(ids.join(degree.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("out").isNull().alias("sink")))
-    n = state.count()
+    n, size = measured(state)
     if n == 0:
         return state.select("id", F.lit(0.0).alias("score"))
+    if size + measured(e)[1] <= one_task:
+        return _rank_in_one_task(state, e, rounds, damping, tolerance)
     scores = state.withColumn("score", F.lit(1.0 / n))
-    for i in range(1, rounds + 1):
-        lost = scores.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("score"))), F.lit(0.0)).alias("lost"))
+    lost = scores.agg(F.sum(F.when(F.col("sink"), F.col("score")))).first()[0] or 0.0
+    for _ in range(rounds):
         sent = scores.join(e, scores.id == e.src).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        scores = (
-            state.join(sent.withColumnRenamed("dst", "id"), "id", "left").crossJoin(F.broadcast(lost))  # one row
-            .select("id", "sink", ((1 - damping) / n + damping * F.col("lost") / n + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
-        )
-        if i % 5 == 0:
-            scores = cut(scores)
+        score = (1 - damping) / n + damping * lost / n + damping * F.coalesce("got", F.lit(0.0))
+        scores = cut(scores.join(sent.withColumnRenamed("dst", "id"), "id", "left").select("id", "sink", score.alias("score"), F.abs(score - F.col("score")).alias("moved")))
+        lost, moved = scores.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("score"))), F.lit(0.0)), F.sum("moved")).first()
+        if moved < tolerance:
+            break
     return scores.select("id", "score")
 
 
+def _rank_in_one_task(state: DataFrame, shares: DataFrame, rounds: int, damping: float, tolerance: float) -> DataFrame:
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        rows = pa.Table.from_batches(list(batches), pa.schema([("id", pa.string()), ("dst", pa.string()), ("share", pa.float64())])).sort_by([("id", "ascending"), ("dst", "ascending")])
+        is_link = rows["dst"].is_valid().to_numpy(zero_copy_only=False)
+        names = rows["id"].filter(pa.array(~is_link)).combine_chunks()
+        at = lambda c: pa.compute.index_in(rows[c].filter(pa.array(is_link)), value_set=names).to_numpy()
+        src, dst, share = at("id"), at("dst"), rows["share"].filter(pa.array(is_link)).to_numpy()
+        n = len(names)
+        sink = np.bincount(src, minlength=n) == 0
+        score = np.full(n, 1.0 / n)
+        for _ in range(rounds):
+            new = (1 - damping) / n + damping * score[sink].sum() / n + damping * np.bincount(dst, score[src] * share, n)
+            moved, score = np.abs(new - score).sum(), new
+            if moved < tolerance:
+                break
+        yield pa.RecordBatch.from_arrays([names, pa.array(score)], ["id", "score"])
+
+    rows = state.select("id", F.lit(None).cast("string").alias("dst"), F.lit(None).cast("double").alias("share")).unionByName(shares.select(F.col("src").alias("id"), "dst", "share"))
+    return rows.coalesce(1).mapInArrow(run, "id string, score double")
+
+
 def unused(candidates: DataFrame, uses: DataFrame, order: list[Column]) -> DataFrame:
     """Candidates (id, ...) whose id is in no row of ``uses`` (id), in a stable order."""
     return candidates.join(uses.filter(F.col("id").isNotNull()).distinct(), "id", "left_anti").orderBy(*order)

@@ -24,11 +24,16 @@ def diff(prev: DataFrame, following: DataFrame, key: str = "id", content: str =
 
 
 def stale_docs(prev: DataFrame, following: DataFrame) -> DataFrame:
-    """id, stale: documented nodes whose documentation is as before; stale if the body changed meanwhile."""
-    a = prev.select("id", F.col("doc_hash").alias("d0"), F.col("body_hash").alias("b0"))
+    """id, stale: documented nodes whose documentation is as before; stale if the body changed meanwhile or they were stale before.
+
+    ``prev`` may have a column docs_stale; a node stays stale until its documentation changes. A body that is null on either
+    side has not changed.
+    """
+    was = F.coalesce(F.col("docs_stale"), F.lit(False)) if "docs_stale" in prev.columns else F.lit(False)
+    a = prev.select("id", F.col("doc_hash").alias("d0"), F.col("body_hash").alias("b0"), was.alias("s0"))
     now = following.filter((F.col("summary_source") == "docs") & F.col("doc_hash").isNotNull()).select("id", "doc_hash", "body_hash")
     same = now.join(a, "id").filter(F.col("d0") == F.col("doc_hash"))
-    return same.select("id", F.coalesce(F.col("b0") != F.col("body_hash"), F.lit(False)).alias("stale"))
+    return same.select("id", (F.coalesce(F.col("b0") != F.col("body_hash"), F.lit(False)) | F.col("s0")).alias("stale"))
 
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -38,10 +43,19 @@ def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """``name`` with ~2, ~3, ... on the second, third, ... row that has it, by ``order``."""
+    """``name`` with ~2, ~3, ... on the second, third, ... row that has it, by ``order``.
+
+    A numbered name that some row has of its own gets another ~, as often as it takes (``a~2`` becomes ``a~~2``).
+    """
     w = W.partitionBy(name).orderBy(order)
-    n = F.row_number().over(w)
-    return rows.withColumn("unique_name", F.when(n > 1, F.concat(F.col(name), F.lit("~"), n.cast("string"))).otherwise(F.col(name)))
+    ranked = rows.withColumn("__n", F.row_number().over(w))
+    # names that look numbered say how many ~ must not be used with what stands before them
+    taken = (
+        rows.select(F.regexp_extract(F.col(name), r"^(.*?)(~+)\d+$", 1).alias(name), F.length(F.regexp_extract(F.col(name), r"^(.*?)(~+)\d+$", 2)).alias("__l"))
+        .filter("__l > 0").groupBy(name).agg(F.max("__l").alias("__l"))
+    )
+    mark = F.repeat(F.lit("~"), F.coalesce("__l", F.lit(0)) + 1)
+    return ranked.join(taken, name, "left").withColumn("unique_name", F.when(F.col("__n") > 1, F.concat(F.col(name), mark, F.col("__n").cast("string"))).otherwise(F.col(name))).drop("__n", "__l")
 
 
 def cache_plan(current: DataFrame, cached: DataFrame, uses: DataFrame) -> DataFrame:

@@ -111,7 +111,7 @@ def connection_weight(s, d):
 def display_order(s, d):
     order = F.array_position(F.array(*map(F.lit, G.KIND_ORDER)), F.col("kind"))
     w = W.partitionBy("parent_id").orderBy(order, "name", "id")
-    return _nodes(s, d, "id", "parent_id", "kind", "name").filter("parent_id IS NOT NULL").withColumn("place", F.row_number().over(w)).filter("place <= 5").select("parent_id", "place", "name")
+    return _nodes(s, d, "id", "parent_id", "kind", "name").filter("parent_id IS NOT NULL").withColumn("place", F.row_number().over(w)).select("parent_id", "place", "name")
 
 
 def what_calls(s, d):
@@ -277,7 +277,7 @@ SQL = {
         WHERE kind = 'references' AND from_id IS NOT NULL AND to_id IN (SELECT id FROM n WHERE kind = 'type') GROUP BY 1, 2 QUALIFY place <= 12""",
     "type_usage": f"WITH {_N}, {_E} SELECT to_id, sum(weight)::BIGINT AS usage FROM e WHERE kind = 'references' AND from_id <> to_id AND to_id IN (SELECT id FROM n WHERE kind = 'type') GROUP BY 1",
     "connection_weight": f"WITH {_E}, b AS (SELECT from_id AS id, weight FROM e WHERE kind <> 'contains' UNION ALL SELECT to_id, weight FROM e WHERE kind <> 'contains') SELECT id, sum(weight)::BIGINT AS connections FROM b WHERE id IS NOT NULL GROUP BY 1",
-    "display_order": f"WITH {_N} SELECT parent_id, row_number() OVER (PARTITION BY parent_id ORDER BY {_KIND}, name, id)::INT AS place, name FROM n WHERE parent_id IS NOT NULL QUALIFY place <= 5",
+    "display_order": f"WITH {_N} SELECT parent_id, row_number() OVER (PARTITION BY parent_id ORDER BY {_KIND}, name, id)::INT AS place, name FROM n WHERE parent_id IS NOT NULL",
     "what_calls": f"""WITH {_N}, {_E}, hot AS (SELECT to_id FROM e WHERE kind = 'references' AND to_id IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, to_id LIMIT 1)
         SELECT from_id, weight, n.kind, n.name FROM e JOIN hot USING (to_id) JOIN n ON n.id = from_id WHERE e.kind = 'references' ORDER BY weight DESC, from_id LIMIT 60""",
     "trace": f"""WITH RECURSIVE {_N}, {_E}, st AS (SELECT DISTINCT from_id, to_id FROM e WHERE kind IN ('references', 'exposed-by') AND from_id IS NOT NULL AND to_id IS NOT NULL),
@@ -305,7 +305,7 @@ SQL = {
     "path_functions": """SELECT DISTINCT extract_id, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, regexp_extract(path, '[^/]*$', 0) AS base, lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1)) AS ext, regexp_replace(regexp_replace(path, '\\.[^./]+$', ''), '(^|/)(index|__init__)$', '') AS module FROM extracts""",
     "hosts": """SELECT DISTINCT setting_id, h AS host, h = 'localhost' OR ends_with(h, '.local') OR ends_with(h, '.internal') OR regexp_full_match(h, '\\d{1,3}(\\.\\d{1,3}){3}') AS internal, lower(regexp_replace(base_url, '^[a-z]+://[^/]*', '')) AS pattern
         FROM (SELECT *, nullif(lower(regexp_extract(base_url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') AS h FROM appsettings)""",
-    "first_sentences": f"""WITH {_N} SELECT id, substr(CASE WHEN regexp_matches({_FLAT}, '[.!?]( |$)') THEN regexp_extract({_FLAT}, '^(.*?[.!?])(?: |$)', 0) ELSE {_FLAT} END, 1, 160) AS first,
+    "first_sentences": f"""WITH {_N} SELECT id, rtrim(substr(CASE WHEN regexp_matches({_FLAT}, '[.!?]( |$)') THEN regexp_extract({_FLAT}, '^(.*?[.!?])(?: |$)', 1) ELSE {_FLAT} END, 1, 160)) AS first,
         CASE WHEN length({_FLAT}) > 48 THEN rtrim(substr({_FLAT}, 1, 47)) || '…' ELSE {_FLAT} END AS clipped FROM n WHERE summary IS NOT NULL""",
     "event_endpoints": "SELECT event_type, count(*) AS n_sites, bool_or(value > 90) AS writes, count(DISTINCT user_id) AS n_users, min(event_id) AS first_id FROM events GROUP BY 1",
 }

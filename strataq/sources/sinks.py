@@ -9,15 +9,31 @@ from strataq.operators.history import last_wins
 
 
 def write_snapshot(nodes: DataFrame, edges: DataFrame, folder: str, snapshot_id: str) -> None:
-    """Write both tables under a new id, by kind, then name it as the current one. A broken write leaves the old one current."""
+    """Write both tables under a new id, by kind, then name it as the current one by a pointer of its own.
+
+    Pointers are only ever added, each in a folder with a greater number, and one counts once it is wholly written; so a reader
+    sees the old snapshot or the new one at every moment, and a broken write leaves the old one current.
+    """
     nodes.write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/{snapshot_id}/nodes")
     edges.write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/{snapshot_id}/edges")
-    nodes.sparkSession.createDataFrame([(snapshot_id,)], "snapshot_id string").coalesce(1).write.mode("overwrite").json(f"{folder}/current")
+    numbers = _pointers(nodes.sparkSession, folder)
+    following = max(numbers, default=0) + 1
+    nodes.sparkSession.createDataFrame([(snapshot_id,)], "snapshot_id string").coalesce(1).write.mode("error").json(f"{folder}/current/{following:012d}")
+
+
+def _pointers(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the pointers that are wholly written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/current")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    done = [p.getPath() for p in files.listStatus(path) if p.isDirectory() and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p.getPath(), "_SUCCESS"))]
+    return [int(p.getName()) for p in done if p.getName().isdigit()]
 
 
 def read_snapshot(spark: SparkSession, folder: str, snapshot_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """nodes and edges of a snapshot, the current one by default; a filter on kind reads only its folders."""
-    at = snapshot_id or spark.read.schema("snapshot_id string").json(f"{folder}/current").first()[0]
+    at = snapshot_id or spark.read.schema("snapshot_id string").json(f"{folder}/current/{max(_pointers(spark, folder)):012d}").first()[0]
     return spark.read.parquet(f"{folder}/{at}/nodes"), spark.read.parquet(f"{folder}/{at}/edges")
 
 
@@ -35,3 +51,19 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
 def pruned(old: DataFrame, new: DataFrame, keep: DataFrame, key: str) -> DataFrame:
     """A cache after a run: new rows, and old ones that are still wanted and not replaced."""
     return old.join(keep.select(key).distinct(), key, "left_semi").join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def truncate(spark: SparkSession, folder: str, snapshot_id: str) -> None:
+    """Empty a cache: an empty snapshot of the current columns becomes the current one; readers keep what they opened."""
+    nodes, edges = read_snapshot(spark, folder)
+    write_snapshot(nodes.limit(0), edges.limit(0), folder, snapshot_id)
+
+
+def lookup(cache: DataFrame, keys: list[str], key: str = "path") -> DataFrame:
+    """The rows of a cache for some keys; the filter reaches the scan, so payloads of others are not read."""
+    return cache.filter(F.col(key).isin(keys)) if keys else cache.limit(0)
+
+
+def index_of(cache: DataFrame, *columns: str) -> DataFrame:
+    """The small columns of a cache alone: its payload is not among what the scan reads."""
+    return cache.select(*columns)
