@@ -289,17 +289,27 @@ class Model:
     report: dict = field(default_factory=dict)
     _memory: dict = field(default_factory=dict, repr=False)
 
-    def weight(self, f: str) -> float:
-        w = self._memory.get(f)
-        if w is None:
-            if len(self._memory) > 200_000:
+    def _remember(self, key, make):
+        found = self._memory.get(key)
+        if found is None:
+            if len(self._memory) > 300_000:
                 self._memory.clear()
-            w = self._memory[f] = self.weights.get(_slot(f), 0.0)
-        return w
+            found = self._memory[key] = make()
+        return found
+
+    def weight(self, f: str) -> float:
+        return self._remember(f, lambda: self.weights.get(_slot(f), 0.0))
+
+    def _sum(self, fs) -> float:
+        return sum(map(self.weight, fs))
 
     def probability(self, c: Candidate, path: str) -> float:
+        """What stands in a value, a name or a path alone is summed once for all candidates that share it."""
+        value = self._remember(("value", c.value), lambda: (v := _Value(c.value, self.chains), self._sum(v.features())))
+        name = self._remember(("name", c.name), lambda: (n := _Name(c.name), self._sum(n.features())))
+        of_path = self._remember(("path", path), lambda: (None, self._sum(_path_features(path))))
         a, b = self.calibration
-        s = a * sum(map(self.weight, features(c, path, self.chains))) + b
+        s = a * (value[1] + name[1] + of_path[1] + self._sum(_crossed(c, value[0], name[0]))) + b
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, s))))
 
 
@@ -336,41 +346,78 @@ def _chain_of(pair: dict[str, float]) -> dict[str, float]:
 
 
 def _likelihood(value: str, chain: dict[str, float]) -> float:
-    floor = chain[""]
-    return sum(chain.get(p, floor) for p in _pairs_of(value)) / (len(value) + 1)
+    floor, get = chain[""], chain.get
+    v = value if value.isascii() else "".join(map(_class, value))
+    return sum([get(a + b, floor) for a, b in zip("^" + v, v + "$")]) / (len(value) + 1)
 
 
-def _kind_of(ch: str) -> str:
-    return "A" if ch.isupper() else "a" if ch.islower() else "0" if ch.isdigit() else " " if ch.isspace() else _class(ch)
+class _Kinds(dict):
+    """For ``str.translate``: the kind of each character, made when first asked for."""
 
+    def __missing__(self, code: int) -> str:
+        ch = chr(code)
+        self[code] = k = "A" if ch.isupper() else "a" if ch.islower() else "0" if ch.isdigit() else " " if ch.isspace() else _class(ch)
+        return k
 
-def features(c: Candidate, path: str, chains: tuple[dict, dict]) -> list[str]:
-    """What the regression sees of a candidate; none of the labelling patterns is among it."""
-    v = c.value
-    n = len(v)
-    per_char = _likelihood(v, chains[0]) - _likelihood(v, chains[1])
-    r, sum_r = _bucket(per_char, 0.25, -4, 4), _bucket(per_char * min(n, 40), 4, -60, 60)
-    classes = [_kind_of(ch) for ch in v]
-    runs = [k for i, k in enumerate(classes) if not i or classes[i - 1] != k]
-    upper, lower, digit = classes.count("A"), classes.count("a"), classes.count("0")
-    mix = "".join(str(min(3, 4 * k // n)) for k in (upper, lower, digit, n - upper - lower - digit))
-    length, turns = min(24, int(math.log2(n + 1) * 3)), min(8, len(runs) * 8 // n)
-    hexadecimal = all(ch in "0123456789abcdef" for ch in v) or all(ch in "0123456789ABCDEF" for ch in v)
-    edge = lambda ch: _kind_of(ch)
-    said = [w.lower() for w in re.findall(r"[A-Za-z]{2,20}", v)]
-    words = [w.lower() for w in _WORDS.findall(c.name)]
-    joined, last = "".join(words), words[-1] if words else ""
-    decoded = _plain_basic(v) if c.kind == "scheme" else None
+
+_KINDS = _Kinds()
+_RUN = re.compile(r"(.)\1+", re.DOTALL)
+_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+
+
+class _Value:
+    """What a value is made up of: the likelihood ratio of its characters, their kinds and runs, its length and words."""
+
+    def __init__(self, v: str, chains: tuple[dict, dict]):
+        n = len(v)
+        self.v = v
+        per_char = _likelihood(v, chains[0]) - _likelihood(v, chains[1])
+        self.ratio, self.sum = _bucket(per_char, 0.25, -4, 4), _bucket(per_char * min(n, 40), 4, -60, 60)
+        kinds = v.translate(_KINDS)
+        self.runs = _RUN.sub(r"\1", kinds)
+        self.ends = kinds[0] + kinds[-1]
+        upper, lower, digit = kinds.count("A"), kinds.count("a"), kinds.count("0")
+        self.mix = f"{min(3, 4 * upper // n)}{min(3, 4 * lower // n)}{min(3, 4 * digit // n)}{min(3, 4 * (n - upper - lower - digit) // n)}"
+        self.length, self.turns = min(24, int(math.log2(n + 1) * 3)), min(8, len(self.runs) * 8 // n)
+        self.hex = _HEX.fullmatch(v) is not None
+
+    def features(self) -> list[str]:
+        said = [w.lower() for w in re.findall(r"[A-Za-z]{2,20}", self.v)]
+        return [
+            "bias", f"r={self.ratio}", f"sum={self.sum}", f"mix={self.mix}", f"len={self.length}", f"turns={self.turns}", f"turns={self.turns}|{self.length}", f"ends={self.ends}", f"set={''.join(sorted(set(self.runs)))}",
+            f"runs={self.runs if len(self.runs) < 6 else len(self.runs) // 4}", f"start={self.v[:3].lower()}", f"said={min(6, len(said))}|{self.turns}", f"hex={self.hex}|{self.length}", *{f"v={w}" for w in said},
+        ]
+
+
+class _Name:
+    def __init__(self, name: str):
+        words = [w.lower() for w in _WORDS.findall(name)]
+        self.words, self.joined, self.last = words, "".join(words), words[-1] if words else ""
+
+    def features(self) -> list[str]:
+        return [f"name={self.joined}", *{f"w={w}" for w in self.words}, *{f"g={self.joined[i : i + 4]}" for i in range(max(1, len(self.joined) - 3))}]
+
+
+def _path_features(path: str) -> list[str]:
     extension = path.rsplit(".", 1)[-1].lower()[:12] if "." in path else ""
     stem = re.sub(r"\d+", "0", path.rsplit("/", 1)[-1].split(".")[0].lower())[:20]
+    return [f"ext={extension}", f"stem={stem}"]
+
+
+def _crossed(c: Candidate, v: _Value, n: _Name) -> list[str]:
+    decoded = _plain_basic(c.value) if c.kind == "scheme" else None
     return [
-        "bias", f"r={r}", f"sum={sum_r}", f"mix={mix}", f"len={length}", f"turns={turns}", f"turns={turns}|{length}", f"ends={edge(v[0])}{edge(v[-1])}", f"set={''.join(sorted(set(runs)))}",
-        f"runs={''.join(runs) if len(runs) < 6 else len(runs) // 4}", f"start={v[:3].lower()}", f"said={min(6, len(said))}|{turns}", f"hex={hexadecimal}|{length}", f"hex={hexadecimal}|{last}",
-        f"kind={c.kind}", f"kind={c.kind}|{r}", f"kind={c.kind}|{mix}", f"ext={extension}", f"stem={stem}", f"name={joined}", f"name={joined}|{r > 0}", f"last={last}|{r}", f"last={last}|{c.kind}",
-        f"decoded={decoded is not None and ':' in decoded}|{c.name == 'basic'}", *(f"w={w}" for w in words), *(f"v={w}" for w in said), *(f"g={joined[i : i + 4]}" for i in range(max(1, len(joined) - 3))),
+        f"kind={c.kind}", f"kind={c.kind}|{v.ratio}", f"kind={c.kind}|{v.mix}", f"hex={v.hex}|{n.last}", f"name={n.joined}|{v.ratio > 0}", f"last={n.last}|{v.ratio}", f"last={n.last}|{c.kind}",
+        f"decoded={decoded is not None and ':' in decoded}|{c.name == 'basic'}",
     ]
 
 
+def features(c: Candidate, path: str, chains: tuple[dict, dict]) -> list[str]:
+    """What the regression sees of a candidate; none of the labelling patterns is among it."""
+    v, n = _Value(c.value, chains), _Name(c.name)
+    return v.features() + n.features() + _path_features(path) + _crossed(c, v, n)
+
+
 _LABELLED = "h bigint, path string, name string, kind string, value string, y int"
 
 
