@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataq.llm.gll import GLL
-from strataq.llm.lexers import Token, tokens
+from strataq.llm.lexers import DIALECTS, Token, tokens
 from strataq.llm.syntax import language_of
 from strataq.operators.scale import cut, sized_join
 
@@ -302,9 +302,11 @@ _DOCSTRING = re.compile(r"\s*[rRuU]{0,2}(\"\"\"|'''|\"|')([\s\S]*?)\1")
 
 def functions_of(content: str, language: str, damaged: bool = False) -> list[Function]:
     """The functions that are whole, also in a file that does not parse; with ``damaged`` also those with a broken body."""
-    if language not in _GRAMMARS:
+    found_tokens = tokens(content, language) if DIALECTS.get(language, language) in _GRAMMARS else []
+    language = DIALECTS.get(language, language)
+    if not found_tokens:
         return []
-    inner, outer = _groups(tokens(content, language))
+    inner, outer = _groups(found_tokens)
     starts_of = [0]
     for m in re.finditer("\n", content):
         starts_of.append(m.end())

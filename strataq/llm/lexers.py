@@ -61,8 +61,19 @@ _PY_STRING = re.compile(r"(?i:[rbu]|br|rb|f|fr|rf|t)?(?:'''|\"\"\"|'|\")")
 _BEFORE_VALUE = frozenset("( [ { , ; : = => ! ? & && | || ?? + - * / % ^ ~ < > <= >= == != === !== += -= *= /= return typeof case in of instanceof new delete void throw else do await yield ${".split()) | {"}", None}
 
 
+#: Languages in which an element of markup is a value.
+DIALECTS = {"jsx": "javascript", "tsx": "typescript"}
+_TAG_NAME = re.compile(r"[^\W\d][\w.:-]*")
+_TAG_SPACE = re.compile(r"(?:\s|//[^\n]*|/\*[\s\S]*?\*/)*")
+_TAG_VALUE = re.compile(r"\s*=\s*")
+
+_AFTER_NUMBER = frozenset("and else for if in is not or".split())
+
+
 class _Lexer:
     def __init__(self, text: str, language: str):
+        self.jsx = language in DIALECTS
+        language = DIALECTS.get(language, language)
         self.s, self.lang = text, language
         self.out: list[Token] = []
         self.words, self.op = _WORDS[language], _OP[language]
@@ -104,6 +115,9 @@ class _Lexer:
             if c.isdigit() or (c == "." and at + 1 < n and s[at + 1].isdigit()):
                 m = _NUM.match(s, at)
                 tail = m[1] or ""
+                if lang == "python" and tail.lstrip("jJ") in _AFTER_NUMBER:  # a word may follow without a space
+                    at = self.add("NUM", at, m.end() - len(tail.lstrip("jJ")))
+                    continue
                 at = self.add("NUM" if self.suffix.fullmatch(tail) else "ERR", at, m.end())
                 continue
             if m := self.id.match(s, at):
@@ -159,6 +173,10 @@ class _Lexer:
                 return self.add("STR", at, m.end()) if m else self.bad(at)
             if c == "`":
                 return self.parts(at, at + 1, "`", "${", "\\")
+            if c == "<" and self.jsx and (self.out[-1].kind if self.out else None) in _BEFORE_VALUE and s[at + 1 : at + 2] != "<":
+                self.add("SB", at, at + 1)
+                end = self.element(at)
+                return self.add("SE", end - 1, end) if end >= 0 else self.add("ERR", at, len(s))
             if c == "/" and (self.out[-1].kind if self.out else None) in _BEFORE_VALUE:
                 if m := _REGEX.match(s, at):
                     return self.add("REGEX", at, m.end())
@@ -210,6 +228,73 @@ class _Lexer:
             return self.add("CHAR", at, m.end()) if m else self.bad(at)
         return None
 
+    def hole(self, at: int) -> int:
+        """What stands between braces within markup, as in a string with holes; the place behind it, or -1."""
+        s = self.s
+        k = _TAG_SPACE.match(s, at + 1).end()
+        if s[k : k + 1] == "}":
+            return k + 1  # nothing, or a comment
+        self.add("${", at, at + 1)
+        k = self.run(k + 3 if s.startswith("...", k) else k, "}")
+        if s[k : k + 1] != "}":
+            return -1
+        return self.add("}$", k, k + 1)
+
+    def element(self, at: int) -> int:
+        """The place behind the element of markup that begins here, or -1 if it does not close; its holes become tokens."""
+        s, n = self.s, len(self.s)
+        open_: list[str] = []
+        k = at
+        while True:
+            closing = s.startswith("</", k)
+            k = _TAG_SPACE.match(s, k + (2 if closing else 1)).end()
+            m = _TAG_NAME.match(s, k)
+            name = m[0] if m else ""
+            k = _TAG_SPACE.match(s, m.end() if m else k).end()
+            if closing:
+                if s[k : k + 1] != ">" or not open_ or open_.pop() != name:
+                    return -1
+                k += 1
+            else:
+                while k < n and s[k] not in "/>":
+                    if s[k] == "{":
+                        k = self.hole(k)
+                    elif name and (a := _TAG_NAME.match(s, k)):
+                        k = a.end()
+                        if v := _TAG_VALUE.match(s, k):
+                            k = v.end()
+                            if s[k : k + 1] in ("'", '"'):
+                                k = s.find(s[k], k + 1) + 1 or -1
+                            elif s[k : k + 1] == "{":
+                                k = self.hole(k)
+                            else:
+                                return -1
+                    else:
+                        return -1
+                    if k < 0:
+                        return -1
+                    k = _TAG_SPACE.match(s, k).end()
+                if s.startswith("/>", k) and name:
+                    k += 2
+                elif s[k : k + 1] == ">":
+                    open_.append(name)
+                    k += 1
+                else:
+                    return -1
+            while open_ and k < n and s[k] != "<":
+                if s[k] == "{":
+                    k = self.hole(k)
+                    if k < 0:
+                        return -1
+                elif s[k] in ">}":
+                    return -1
+                else:
+                    k += 1
+            if not open_:
+                return k
+            if k >= n:
+                return -1
+
     def bad(self, at: int) -> int:
         end = self.s.find("\n", at)
         return self.add("ERR", at, len(self.s) if end < 0 else end)
@@ -251,7 +336,7 @@ class _Lexer:
                     k = m.end()
                 if k < n and s[k] == ":" and doubled:  # a format: any text, itself with holes
                     depth = 0
-                    while k < n and not (s[k] == "}" and depth == 0) and (many or s[k] != "\n") and not s.startswith(quote, k):
+                    while k < n and not (s[k] == "}" and depth == 0) and (many or depth or s[k] != "\n") and not s.startswith(quote, k):
                         depth += (s[k] == "{") - (s[k] == "}")
                         k += 1
                 if k >= n or s[k] != "}":

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import ast
 import sys
-import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,17 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataq.llm.grammars import grammar
-from strataq.llm.lexers import tokens
+from strataq.llm.lexers import DIALECTS, tokens
 
 #: Spellings of language names, and file extensions.
 NAMES = {
-    "python": "python", "py": "python", "python3": "python", "cpython": "python", "typescript": "typescript", "ts": "typescript", "tsx": "typescript",
-    "javascript": "javascript", "js": "javascript", "jsx": "javascript", "ecmascript": "javascript", "node": "javascript", "go": "go", "golang": "go",
+    "python": "python", "py": "python", "python3": "python", "cpython": "python", "typescript": "typescript", "ts": "typescript", "tsx": "tsx",
+    "javascript": "javascript", "js": "javascript", "jsx": "jsx", "ecmascript": "javascript", "node": "javascript", "go": "go", "golang": "go",
     "c#": "csharp", "csharp": "csharp", "cs": "csharp", "c sharp": "csharp", "rust": "rust", "rs": "rust", "rustlang": "rust",
 }
 EXTENSIONS = {
     "py": "python", "pyi": "python", "ts": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "mjs": "javascript", "cjs": "javascript",
-    "go": "go", "cs": "csharp", "rs": "rust",
+    "go": "go", "cs": "csharp", "rs": "rust", "tsx": "tsx", "jsx": "jsx",
 }
 
 
@@ -44,28 +42,15 @@ def fault(content: str, language: str) -> tuple[str, int, str] | None:
     if sys.getrecursionlimit() < DEPTH:
         sys.setrecursionlimit(DEPTH)  # brackets nest as deep as the derivatives of their languages
     found = tokens(content, language)
-    failure = grammar(language).check([(t.kind, t.new_line) for t in found], ";" if language in ("javascript", "typescript") else None)
+    failure = grammar(DIALECTS.get(language, language)).check([(t.kind, t.new_line) for t in found], ";" if language in ("javascript", "typescript", *DIALECTS) else None)
     if failure is None:
         return None
     if failure.truncated:
         return "truncated", content.count("\n") + 1, ""
     t = found[failure.token]
-    if language == "python" and _compiles(content):
-        return None
     return "token", content.count("\n", 0, t.start) + 1, content[t.start : t.end][:80]
 
 
-def _compiles(content: str) -> bool:
-    """The exact check that may follow for Python: clears a text that the grammar here is too narrow for."""
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(content.removeprefix("﻿"))
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return False
-    return True
-
-
 def faults(files: DataFrame) -> DataFrame:
     """The rows of ``files`` (extract_id, content, language) that do not parse, with kind, line and token.
 

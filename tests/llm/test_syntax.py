@@ -116,3 +116,27 @@ def test_operator(spark):
     rates = {(r.scope_id, r.language): (r.n_files, r.n_invalid) for r in syntax.rates(known.filter("extract_id < 8")).collect()}
     assert rates[("s", "python")] == (3, 2) and rates[(None, "go")] == (1, 1)
     assert syntax.faults(known.limit(0)).count() == 0
+
+
+MARKUP = [
+    "const a = <div>text</div>;", "const a = <div />;", "export default () => <A.B x='1' y={2 + f(3)} {...rest} flag>{items.map((i) => <li key={i}>{i}</li>)}</A.B>;", "function F() { return (<><p>a {/* c */} {b && <i/>}</p></>); }",
+    "const x = a < b && c > d;", "const t = ok ? <A /> : <B>{}</B>;",
+]
+BROKEN_MARKUP = ["const a = <div>text</span>;", "const a = <div>;", "const a = <div x=1 />;", "const a = <div>{f(}</div>;", "const a = <div>}</div>;", "const a = <div"]
+
+
+@pytest.mark.parametrize("language", ["jsx", "tsx"])
+def test_markup(language):
+    from strataq.llm import syntax as S
+
+    assert [S.fault(t, language) for t in MARKUP] == [None] * len(MARKUP)
+    assert all(S.fault(t, language) for t in BROKEN_MARKUP)
+    assert S.fault("const a = <div>text</div>;", language[0] + "s" if language == "ts" else "javascript")
+
+
+def test_extensions_of_markup(spark):
+    from strataq.llm import syntax as S
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([(None, "a.tsx"), ("JSX", "a.js"), (None, "b.JSX"), ("TypeScript", "a.tsx")], "n string, p string")
+    assert [r[0] for r in d.select(S.language_of(F.col("n"), F.col("p"))).collect()] == ["tsx", "jsx", "jsx", "typescript"]
