@@ -99,10 +99,10 @@ def _contract(links: DataFrame, rows: int, with_path: bool) -> DataFrame:
         placed = links.coalesce(1)
     else:
         sizes = links.groupBy("locality").agg(F.count(F.lit(1)).alias("__n"))
-        # fewer than rows / PARTITION_ROWS groups can be that big
-        big = sizes.filter(F.col("__n") > PARTITION_ROWS).select("locality", F.ceil(F.col("__n") / PARTITION_ROWS).cast("int").alias("__k"))
+        # fewer than rows / PARTITION_ROWS groups can be that big: broadcast while they are few, joined and salted beyond
+        big = cut(sizes.filter(F.col("__n") > PARTITION_ROWS).select("locality", F.ceil(F.col("__n") / PARTITION_ROWS).cast("int").alias("__k")))
         parts = max(-(-rows // PARTITION_ROWS), int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        placed = links.join(F.broadcast(big), "locality", "left").repartition(
+        placed = sized_join(links, big, "locality", "left").repartition(
             parts, "locality", F.pmod(F.xxhash64("node"), F.coalesce("__k", F.lit(1)))
         )
     return placed.select("node", "parent", "weight", "way").mapInArrow(_fragments(with_path), _FRAGMENT)
@@ -123,7 +123,8 @@ def _double(links: DataFrame) -> DataFrame:
     going = state.filter(~F.col("ended")).count()
     while going:
         above = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("ended").alias("ended2"), F.col("way").alias("way2"))
-        moved = state.filter(~F.col("ended")).join(above, "up").select(
+        # many chains meet in one node, at last in a root: such a key is spread
+        moved = sized_join(state.filter(~F.col("ended")), above, "up").select(
             "node", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).cast("int").alias("steps"), F.col("ended2").alias("ended"), F.concat("way2", "way").alias("way")
         )
         state = cut(state.filter("ended").unionByName(moved))
@@ -148,7 +149,8 @@ def _solve(links: DataFrame, rows: int, with_path: bool) -> DataFrame:
     quotient = cut(
         tops.filter(F.col("parent").isNull()).select("node", "parent", "weight", F.col("exit_way").alias("way")).unionByName(
             # an exit to no node makes a root; one into a local circle never ends: its fragment becomes its own parent
-            tops.filter(F.col("parent").isNotNull()).join(inside, "parent", "left").select(
+            # a folder may be the parent of many fragments, so the join is salted where it is not broadcast
+            sized_join(tops.filter(F.col("parent").isNotNull()), inside, "parent", "left").select(
                 "node", F.when(circle, F.col("node")).otherwise(F.col("to")).alias("parent"), (F.col("weight") + F.coalesce("further", F.lit(0))).cast("int").alias("weight"),
                 F.coalesce(F.concat("inner", "exit_way"), F.col("exit_way")).alias("way"),
             )

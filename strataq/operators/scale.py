@@ -45,6 +45,8 @@ def measured(df: DataFrame, *keys: str) -> tuple[int, int]:
     for name, kind in df.dtypes:
         if kind == "string":
             width = width + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+        elif kind in ("array<string>", "array<int>", "array<bigint>", "array<double>"):
+            width = width + F.greatest(F.size(F.col(f"`{name}`")), F.lit(0)) * 48
         elif kind.startswith(("array", "map", "struct", "binary", "variant")):
             # nested values by their text, which holds every part of them
             text = F.col(f"`{name}`") if kind == "binary" else F.to_json(F.struct(F.col(f"`{name}`")))
