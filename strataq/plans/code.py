@@ -11,6 +11,7 @@ from strataq.plans.doors_sql import _SNAP, _V
 from strataq.plans.facts import _E, _N, _nodes
 from strataq.sources import boundaries as B
 from strataq.sources import configs as C
+from strataq.sources import declarations as L
 from strataq.sources.tables import table
 
 
@@ -79,13 +80,45 @@ def markdown_report(s, d):
     return R.markdown(top.select(F.col("scope_id").alias("section"), "place", F.col("scope_id").alias("title"), F.concat_ws(" ", "name", K.count_of(F.coalesce("meta.loc", F.lit(0)), "line")).alias("line")))
 
 
-_ALL = (code_findings, code_findings_counts, route_files, compose_port, source_slices, packages, auth_headline, change_report, markdown_report)
+def _whole(s, d):
+    return table(s, d, "extracts", "extract_id", "scope_id", "path", "content").dropDuplicates(["extract_id"]).select("scope_id", "path", "content")
+
+
+def code_declarations(s, d):
+    """What each source file declares and imports, in six languages."""
+    return L.declarations(_whole(s, d))
+
+
+def import_edges(s, d):
+    """Imports as edges between files."""
+    files = _whole(s, d)
+    return L.resolved_imports(L.declarations(files), files)
+
+
+def name_links(s, d):
+    """The names of imported files that a file uses, per language."""
+    files = _whole(s, d)
+    facts = L.declarations(files)
+    return L.linked_names(files, facts, L.resolved_imports(facts, files)).groupBy("fact").agg(F.count(F.lit(1)).alias("n_links"), F.sum("weight").alias("n_uses"))
+
+
+def declared_types(s, d):
+    return L.merged_types(L.declarations(_whole(s, d))).select("scope_id", "namespace", "name", F.array_join("paths", ",").alias("paths"))
+
+
+_ALL = (code_declarations, import_edges, name_links, declared_types, code_findings, code_findings_counts, route_files, compose_port, source_slices, packages, auth_headline, change_report, markdown_report)
 QUERIES = {q.__name__: q for q in _ALL}
 
 _FILES = "files AS (SELECT scope_id, path, content FROM (SELECT DISTINCT ON (extract_id) * FROM extracts) UNION ALL SELECT scope_id, rel_path, secret FROM (SELECT DISTINCT ON (src_id) * FROM src))"
 _FOUND = B.findings_sql("files").replace("WITH s AS", f"WITH {_FILES}, s AS", 1)
 
+_WHOLE = "files AS (SELECT scope_id, path, content FROM (SELECT DISTINCT ON (extract_id) * FROM extracts))"
+_DECLARED = "SELECT DISTINCT scope_id, path, line, kind AS fact, framework AS language, target AS name FROM (" + B.findings_sql("files", L.RULES).replace("WITH s AS", f"WITH {_WHOLE}, s AS", 1) + ") WHERE target IS NOT NULL AND NOT (kind = 'method' AND target IN (" + ", ".join(f"'{w}'" for w in L.NOT_NAMES) + "))"
+
 SQL = {
+    "code_declarations": _DECLARED,
+    "declared_types": f"""WITH f AS ({_DECLARED}), sp AS (SELECT scope_id, path, arg_min(name, line) AS namespace FROM f WHERE fact = 'namespace' AND language = 'csharp' GROUP BY 1, 2)
+        SELECT scope_id, namespace, name, array_to_string(list_sort(list(DISTINCT path)), ',') AS paths FROM f LEFT JOIN sp USING (scope_id, path) WHERE fact = 'type' AND language = 'csharp' GROUP BY 1, 2, 3""",
     "code_findings": f"SELECT DISTINCT * FROM ({_FOUND})",
     "code_findings_counts": f"SELECT kind, framework, count(*) AS n_lines, count(DISTINCT path) AS n_files FROM ({_FOUND}) GROUP BY 1, 2",
     "route_files": """SELECT * FROM (VALUES ('app/(shop)/item/[id]/page.tsx', 'page', 'next-app', '/item/:id'), ('src/app/api/x/route.ts', 'http-route', 'next-app', '/api/x'), ('pages/api/a/index.ts', 'http-route', 'next-pages', '/api/a'),

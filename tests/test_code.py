@@ -88,3 +88,24 @@ def test_no_headline_and_reports(spark):
     sections = spark.createDataFrame([("1", 2, "One", "b"), ("1", 1, "One", "a\nx"), ("2", None, "Two", None)], "section string, place int, title string, line string")
     assert [r.text for r in R.markdown(sections).collect()] == ["## One", "", "- a x", "- b", "", "## Two", "", ""]
     assert R.markdown(sections.limit(0)).count() == 0
+
+
+def test_declarations_and_imports(spark):
+    from strataq.sources import declarations as L
+
+    files = [
+        ("s", "web/a.ts", "import { b } from './lib/b';\nexport async function go(x) {\n  if (x) {\n  }\n  return helper(b, b);\n}\nexport const arrow = (y: number): number => y;\nclass K {\n  private run(a: string): void {\n  }\n}\n"), ("s", "web/lib/b/index.ts", "export function helper() {\n}\nconst z = require('../../a');\n"),
+        ("s", "py/app/main.py", "from app.util import thing\nimport os\n"), ("s", "py/app/util.py", "class thing:\n    def m(self):\n        pass\n"), ("t", "py/app/util.py", "x = 1\n"), ("s", "go/cmd/main.go", "package main\nimport (\n\t\"fmt\"\n\t\"example.com/x/pkg/store\"\n)\nfunc main() {}\n"), ("s", "go/pkg/store/s.go", "package store\nfunc (s *S) Get() {}\ntype S struct {}\n"),
+        ("s", "cs/A.cs", "using My.Space;\nnamespace Other;\npublic partial class A\n{\n    public static int F(int a) => a;\n}\n"), ("s", "cs/B.cs", "namespace My.Space\n{\n    class B {}\n}\n"), ("s", "cs/A2.cs", "namespace Other;\npublic partial class A {}\n"),
+        ("s", "rs/src/main.rs", "mod engine;\nuse crate::engine::Engine;\nfn main() {}\n"), ("s", "rs/src/engine.rs", "pub struct Engine;\npub(crate) async fn f() {}\n"), ("s", "n.ts", None), ("s", None, "function f() {}"),
+    ]
+    f = spark.createDataFrame([*files, files[0]], FILES)
+    facts = L.declarations(f).cache()
+    got = {(r.path, r.fact, r.name) for r in facts.collect()}
+    assert {("web/a.ts", "function", "go"), ("web/a.ts", "function", "arrow"), ("web/a.ts", "type", "K"), ("web/a.ts", "method", "run"), ("py/app/util.py", "type", "thing"), ("go/pkg/store/s.go", "function", "Get"), ("cs/A.cs", "method", "F"), ("rs/src/engine.rs", "function", "f"), ("rs/src/engine.rs", "type", "Engine")} <= got
+    assert not any(n == "if" for _, _, n in got)
+    edges = L.resolved_imports(facts, f)
+    assert {(r.path, r.target_path) for r in edges.collect()} == {("web/a.ts", "web/lib/b/index.ts"), ("web/lib/b/index.ts", "web/a.ts"), ("py/app/main.py", "py/app/util.py"), ("go/cmd/main.go", "go/pkg/store/s.go"), ("cs/A.cs", "cs/B.cs"), ("rs/src/main.rs", "rs/src/engine.rs")}
+    assert {(r.path, r.name, r.weight) for r in L.linked_names(f, facts, edges).collect()} >= {("web/a.ts", "helper", 1), ("py/app/main.py", "thing", 1), ("rs/src/main.rs", "Engine", 1)}
+    assert {(r.namespace, r.name, tuple(r.paths)) for r in L.merged_types(facts).collect()} == {("Other", "A", ("cs/A.cs", "cs/A2.cs")), ("My.Space", "B", ("cs/B.cs",))}
+    assert L.unique_ids(facts).filter("id = 'func:web/a.ts#go'").count() == 1 and L.declarations(f.limit(0)).count() == 0
