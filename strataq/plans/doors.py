@@ -10,6 +10,7 @@ from strataq.operators import doors as D
 from strataq.operators import graph as G
 from strataq.operators import groups as P
 from strataq.operators import history as T
+from strataq.operators import views as V
 from strataq.plans.doors_sql import sql
 from strataq.plans.facts import _edges, _nodes, _paths
 from strataq.sources.tables import table
@@ -325,8 +326,35 @@ def batches(s, d):
     return docs.select("doc_id", "source", F.floor(n / 12).alias("request"), (n % 12).alias("place"))
 
 
+def level_filter(s, d):
+    """The relations of modules that remain when tests and configuration are hidden."""
+    n = _nodes(s, d, "id", "kind", "zone").filter("kind = 'file'").select("id", "zone")
+    return V.filter_level(n, _edges(s, d).filter("kind = 'imports' AND from_id IS NOT NULL AND to_id IS NOT NULL").select("id", "from_id", "to_id"), ["test", "config"])[1].select("id")
+
+
+def zone_flows(s, d):
+    """Weights between zones of the files and functions that refer to each other."""
+    n = _nodes(s, d, "id", "zone")
+    e = _edges(s, d).filter("kind IN ('references', 'imports')").groupBy("from_id", "to_id").agg(F.sum("weight").alias("weight"))
+    x = e.join(n.select(F.col("id").alias("from_id"), F.col("zone").alias("from_zone")), "from_id").join(n.select(F.col("id").alias("to_id"), F.col("zone").alias("to_zone")), "to_id")
+    return V.flows(x, "from_zone", "to_zone", "weight")
+
+
+def door_classes(s, d):
+    return V.door_classes(_doors(s, d))
+
+
+def language_tiers(s, d):
+    return V.languages_by_tier(_nodes(s, d, "id", "kind", "language").filter("kind = 'file'"), ["go", "golang", "rust", "c#", "csharp"])
+
+
+def callers_by_name(s, d):
+    n = _nodes(s, d, "id", "kind", "name")
+    return V.callers(n, _edges(s, d), " Savesummary ", 60)
+
+
 _ALL = (
-    node_by_id, children_of, writing_doors, store_doors, open_doors, open_door_tally, auth_insights, entry_points, guard_reach, door_diff, comparable, endpoint_merge, service_merge, store_merge, env_inventory, flow_edges,
+    level_filter, zone_flows, door_classes, language_tiers, callers_by_name, node_by_id, children_of, writing_doors, store_doors, open_doors, open_door_tally, auth_insights, entry_points, guard_reach, door_diff, comparable, endpoint_merge, service_merge, store_merge, env_inventory, flow_edges,
     distinct_guards, matcher_join, boundary_cards, zone_of_path, personal_columns, personal_tables, retired_files, route_of_file, specifier_resolution, edge_labels, catalog_tables, sends_data, phrases, node_ids, world_flows,
     module_tree, group_cut, file_groups, cut_links, unimported_whole, type_cards, preview_names, arrow_budget, label_disambiguation, batches,
 )

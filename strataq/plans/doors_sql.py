@@ -37,6 +37,13 @@ def _values(items) -> str:
 def sql(columns: list[str], specifiers: list[str]) -> dict[str, str]:
     """Query name to SQL; ``columns`` are the names that personal_columns judges."""
     return {
+        "level_filter": f"WITH {_N}, {_E}, h AS (SELECT id FROM n WHERE kind = 'file' AND zone IN ('test', 'config')) SELECT id FROM e WHERE kind = 'imports' AND from_id IS NOT NULL AND to_id IS NOT NULL AND from_id NOT IN (SELECT id FROM h) AND to_id NOT IN (SELECT id FROM h)",
+        "zone_flows": f"WITH {_N}, {_E} SELECT a.zone AS from_zone, b.zone AS to_zone, sum(weight)::BIGINT AS weight FROM e JOIN n a ON a.id = from_id JOIN n b ON b.id = to_id WHERE e.kind IN ('references', 'imports') AND a.zone IS NOT NULL AND b.zone IS NOT NULL GROUP BY 1, 2",
+        "door_classes": f"""WITH {_D} SELECT CASE WHEN endpoint_kind IN ('http-route', 'webhook', 'realtime', 'server-action', 'rpc') THEN 'network' WHEN endpoint_kind IN ('screen', 'page') THEN 'screen' WHEN endpoint_kind IN ('cli', 'bin') THEN 'declared-cli' WHEN endpoint_kind IN ('main', 'script') THEN 'runnable'
+            WHEN endpoint_kind IN ('cron', 'job') THEN 'scheduled' ELSE 'other' END AS class, count(*) AS n_doors FROM d GROUP BY 1""",
+        "language_tiers": f"WITH {_N} SELECT CASE WHEN lower(language) IN ('go', 'golang', 'rust', 'c#', 'csharp') THEN 'coarse' ELSE 'full' END AS tier, array_to_string(list_sort(list(DISTINCT lower(language))), ',') AS languages FROM n WHERE kind = 'file' AND language IS NOT NULL GROUP BY 1",
+        "callers_by_name": f"""WITH {_N}, {_E}, t AS (SELECT DISTINCT id FROM n WHERE lower(name) = 'savesummary'), c AS (SELECT to_id, from_id, sum(weight)::BIGINT AS weight FROM e JOIN t ON t.id = to_id WHERE kind = 'references' AND from_id IS NOT NULL GROUP BY 1, 2)
+            SELECT to_id AS target_id, from_id, n.kind, n.name, weight, (SELECT count(*) FROM t) AS n_targets FROM c JOIN n ON n.id = from_id ORDER BY weight DESC, from_id, target_id LIMIT 60""",
         "node_by_id": f"WITH {_N} SELECT id, kind, name, parent_id FROM n WHERE id = 'store:cache-kv'",
         "children_of": f"WITH {_N} SELECT id, kind, name FROM n WHERE parent_id = 'zone:outbound'",
         "writing_doors": f"WITH {_N}, {_E}, {_W} SELECT door_id FROM w",

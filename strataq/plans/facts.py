@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from strataq.functions import classes as K
 from strataq.functions import scalars as S
 from strataq.operators import graph as G
 from strataq.operators import hierarchy as H
@@ -136,7 +137,7 @@ def unimported(s, d):
 
 def where_to_look_first(s, d):
     """The ten files that most of the code comes back to: PageRank over imports, reversed as in reading order."""
-    n = _nodes(s, d, "id", "kind", "zone", "meta").filter("kind = 'file' AND zone <> 'test'")
+    n = _nodes(s, d, "id", "kind", "zone", "path", "summary", "meta").filter("kind = 'file' AND zone <> 'test'").filter(K.retirement(F.col("path"), F.col("zone"), F.col("summary")).isNull())
     imports = _edges(s, d).filter("kind = 'imports' AND from_id IS NOT NULL AND to_id IS NOT NULL")
     links = imports.select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"))
     holds = n.filter("meta.function_count + meta.type_count > 0").select("id")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strataq.operators.history import last_wins
 
 
+_POINTER = "snapshot_id string, nodes string, edges string"
+
+
 def write_snapshot(nodes: DataFrame, edges: DataFrame, folder: str, snapshot_id: str) -> None:
     """Write both tables under a new id, by kind, then name it as the current one by a pointer of its own.
 
@@ -18,7 +24,8 @@ def write_snapshot(nodes: DataFrame, edges: DataFrame, folder: str, snapshot_id:
     edges.write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/{snapshot_id}/edges")
     numbers = _pointers(nodes.sparkSession, folder)
     following = max(numbers, default=0) + 1
-    nodes.sparkSession.createDataFrame([(snapshot_id,)], "snapshot_id string").coalesce(1).write.mode("error").json(f"{folder}/current/{following:012d}")
+    schemas = (nodes.schema.json(), edges.schema.json())  # an empty table leaves no file that would tell
+    nodes.sparkSession.createDataFrame([(snapshot_id, *schemas)], _POINTER).coalesce(1).write.mode("error").json(f"{folder}/current/{following:012d}")
 
 
 def _pointers(spark: SparkSession, folder: str) -> list[int]:
@@ -33,8 +40,11 @@ def _pointers(spark: SparkSession, folder: str) -> list[int]:
 
 def read_snapshot(spark: SparkSession, folder: str, snapshot_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """nodes and edges of a snapshot, the current one by default; a filter on kind reads only its folders."""
-    at = snapshot_id or spark.read.schema("snapshot_id string").json(f"{folder}/current/{max(_pointers(spark, folder)):012d}").first()[0]
-    return spark.read.parquet(f"{folder}/{at}/nodes"), spark.read.parquet(f"{folder}/{at}/edges")
+    pointers = [f"{folder}/current/{n:012d}" for n in sorted(_pointers(spark, folder))]
+    every = spark.read.schema(_POINTER).json(pointers[-1:] if snapshot_id is None else pointers)
+    row = (every if snapshot_id is None else every.filter(F.col("snapshot_id") == snapshot_id)).first()
+    read = lambda name: spark.read.schema(StructType.fromJson(json.loads(row[name]))).parquet(f"{folder}/{row.snapshot_id}/{name}")
+    return read("nodes"), read("edges")
 
 
 def export_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:

@@ -185,3 +185,21 @@ def test_checkpoints_refuse_a_cluster_without_a_shared_folder(monkeypatch):
 
     with pytest.raises(ValueError):
         C.checkpoint_dir(Session)
+
+
+def test_views(spark):
+    from strataq.operators import views as V
+
+    assert [V.read_limit(x) for x in (None, "5", 0, 9999, "x", 2.9, float("nan"), float("inf"))] == [60, 5, 1, 500, 60, 2, 60, 60]
+    n = spark.createDataFrame([("a", "ui"), ("b", "test"), ("c", None)], "id string, zone string")
+    e = spark.createDataFrame([("a", "b"), ("a", "c"), (None, "a")], "from_id string, to_id string")
+    kept, seen, hidden = V.filter_level(n, e, ["test"])
+    assert {r.id for r in kept.collect()} == {"a", "c"} and {(r.from_id, r.to_id) for r in seen.collect()} == {("a", "c"), (None, "a")} and rows(hidden) == {("test", 1)}
+    f = spark.createDataFrame([("x", "p", 2), ("x", "p", 3), (None, "p", 1)], "l string, r string, w bigint")
+    assert rows(V.flows(f, "l", "r", "w", spark.createDataFrame([("x", "p"), ("y", "p")], "l string, r string"))) == {("x", "p", 5), ("y", "p", 1)}
+    r = spark.createDataFrame([(None, 3), (False, 3), (True, 0), (True, None), (True, 1)], "e boolean, n int")
+    assert [x[0] for x in r.select(V.rls_rank(F.col("e"), F.col("n"))).collect()] == [2, 0, 1, 1, 3]
+    g = spark.createDataFrame([("1", "function", "go"), ("2", "function", "GO"), ("3", "file", "f"), ("go", "file", "x")], "id string, kind string, name string")
+    c = spark.createDataFrame([("references", "3", "1", 2), ("references", "3", "2", 5), ("references", "3", "go", 1), ("imports", "3", "1", 9), ("references", None, "1", 1)], "kind string, from_id string, to_id string, weight bigint")
+    assert [(x.target_id, x.n_targets) for x in V.callers(g, c, " Go ").collect()] == [("2", 2), ("1", 2)] and [x.target_id for x in V.callers(g, c, "go").collect()] == ["go"] and V.callers(g, c, " ").count() == 0
+    assert rows(V.door_classes(spark.createDataFrame([("http-route",), ("odd",), (None,)], "endpoint_kind string"))) == {("network", 1), ("other", 2)}

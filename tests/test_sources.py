@@ -87,3 +87,16 @@ def test_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("bursts").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert stream.isStreaming and spark.table("bursts").count() <= 2 and D
+
+
+def test_cache_views(spark, tmp_path):
+    n = spark.createDataFrame([("a", "file", "x"), ("b", "file", "y")], "id string, kind string, payload string")
+    e = spark.createDataFrame([("imports", "a", "b")], "kind string, from_id string, to_id string")
+    at = str(tmp_path / "c")
+    sinks.write_snapshot(n, e, at, "one")
+    found = sinks.lookup(sinks.read_snapshot(spark, at)[0], ["a"], "id")
+    assert [r.payload for r in found.collect()] == ["x"] and sinks.lookup(n, []).count() == 0 and sinks.index_of(n, "id").columns == ["id"]
+    sinks.truncate(spark, at, "two")
+    assert sinks.read_snapshot(spark, at)[0].count() == 0 and sinks.read_snapshot(spark, at, "one")[0].count() == 2
+    (tmp_path / "c" / "current" / "000000000003").mkdir()  # a pointer whose writing broke
+    assert sinks.read_snapshot(spark, at)[0].count() == 0
