@@ -56,15 +56,23 @@ def packages(s, d):
     return _nodes(s, d, "id", "kind", "path").filter("kind = 'file'").select("id", C.declares_package(F.col("path")).alias("declares"))
 
 
-def auth_headline(s, d):
+def _door_stats(s, d):
     doors, verdicts = P._verdicts(s, d)
     asked = doors.filter(P.D.is_auth_relevant(F.col("endpoint_kind"))).join(verdicts, "id", "left")
     count = lambda c, n: F.count_if(c).alias(n)
-    stats = asked.agg(
+    return asked.agg(
         F.count(F.lit(1)).alias("routes"), count(F.col("verdict") == "worth-a-look", "open"), count(F.col("verdict") == "unreadable", "unreadable"), count(F.col("verdict").isin("page", "auth-mount", "generated"), "public"),
         count((F.col("n_guards") > 0) & (F.col("n_certain") == 0), "likely_only"), F.lit(0).alias("unread_files"),
     )
-    return R.auth_headline(stats).select("tone", "headline", F.array_join("caveats", "; ").alias("caveats"))
+
+
+def door_stats(s, d):
+    """The counters of the statistics that concern doors, in one row."""
+    return _door_stats(s, d)
+
+
+def auth_headline(s, d):
+    return R.auth_headline(_door_stats(s, d)).select("tone", "headline", F.array_join("caveats", "; ").alias("caveats"))
 
 
 def change_report(s, d):
@@ -106,7 +114,7 @@ def declared_types(s, d):
     return L.merged_types(L.declarations(_whole(s, d))).select("scope_id", "namespace", "name", F.array_join("paths", ",").alias("paths"))
 
 
-_ALL = (code_declarations, import_edges, name_links, declared_types, code_findings, code_findings_counts, route_files, compose_port, source_slices, packages, auth_headline, change_report, markdown_report)
+_ALL = (code_declarations, import_edges, name_links, declared_types, code_findings, code_findings_counts, route_files, compose_port, source_slices, packages, door_stats, auth_headline, change_report, markdown_report)
 QUERIES = {q.__name__: q for q in _ALL}
 
 _FILES = "files AS (SELECT scope_id, path, content FROM (SELECT DISTINCT ON (extract_id) * FROM extracts) UNION ALL SELECT scope_id, rel_path, secret FROM (SELECT DISTINCT ON (src_id) * FROM src))"
@@ -129,6 +137,8 @@ SQL = {
     "source_slices": f"""WITH {_N}, w AS (SELECT DISTINCT scope_id, path, greatest(start_line - 1, 1)::INT AS first, coalesce(end_line, start_line) + 1 AS last FROM n WHERE kind = 'endpoint' AND path IS NOT NULL AND start_line >= 1),
         x AS (SELECT DISTINCT ON (extract_id) scope_id, path, regexp_split_to_array(content, '\\r\\n|\\n|\\r') AS l FROM extracts WHERE content IS NOT NULL) SELECT scope_id, path, first, array_to_string(l[first:last], chr(10)) AS text FROM w JOIN x USING (scope_id, path) WHERE first <= len(l)""",
     "packages": f"WITH {_N} SELECT id, regexp_matches(path, '(^|/)(package\\.json|pyproject\\.toml|setup\\.(py|cfg)|go\\.mod|Cargo\\.toml|[^/]+\\.(cs|fs|vb)proj|composer\\.json|Gemfile|pom\\.xml|build\\.gradle(\\.kts)?)$') AS declares FROM n WHERE kind = 'file'",
+    "door_stats": f"""WITH {_V} SELECT count(*) AS routes, count(*) FILTER (verdict = 'worth-a-look') AS open, count(*) FILTER (verdict = 'unreadable') AS unreadable, count(*) FILTER (verdict IN ('page', 'auth-mount', 'generated')) AS public,
+        count(*) FILTER (n_guards > 0 AND n_certain = 0) AS likely_only, 0 AS unread_files FROM d LEFT JOIN v USING (id) WHERE endpoint_kind IN ('webhook', 'http-route', 'server-action', 'realtime')""",
     "auth_headline": f"""WITH {_V}, c AS (SELECT count(*) AS r, count(*) FILTER (verdict = 'worth-a-look') AS o, count(*) FILTER (verdict = 'unreadable') AS u, count(*) FILTER (verdict IN ('page', 'auth-mount', 'generated')) AS p
         FROM d LEFT JOIN v USING (id) WHERE endpoint_kind IN ('webhook', 'http-route', 'server-action', 'realtime'))
         SELECT 'warn' AS tone, o || ' of ' || r || ' routes have no auth check that can be seen' AS headline, concat_ws('; ', CASE WHEN u > 0 THEN u || ' more lean on a file that could not be read' END, CASE WHEN p > 0 THEN p || ' more are pages or the door people sign in through, open on purpose' END) AS caveats
