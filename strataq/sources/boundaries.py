@@ -90,15 +90,16 @@ def findings(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
             return F.lit(what)
         return F.nullif(F.regexp_extract(line, rule.pattern, what), F.lit("")) if what else F.lit(None).cast("string")
 
-    found = [
-        F.when(
-            F.col("path").rlike(r.files) & line.rlike(r.pattern),
-            F.struct(F.lit(r.kind).alias("kind"), F.lit(r.framework).alias("framework"), F.upper(part(r, r.method)).alias("method"), part(r, r.target).alias("target"), part(r, r.handler).alias("handler")),
-        )
-        for r in rules
-    ]
-    lines = files.filter(F.col("path").isNotNull()).select("scope_id", "path", F.posexplode(F.split("content", r"\r\n|\n|\r")).alias("at", "text")).filter(~line.rlike(COMMENT))
-    return lines.select("scope_id", "path", (F.col("at") + 1).alias("line"), F.explode(F.array_compact(F.array(*found))).alias("f")).select("scope_id", "path", "line", "f.*")
+    def tried(r: Rule):
+        return F.when(line.rlike(r.pattern), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.framework).alias("framework"), F.upper(part(r, r.method)).alias("method"), part(r, r.target).alias("target"), part(r, r.handler).alias("handler")))
+
+    # a line meets the rules for its kind of file alone; each kind is asked for once
+    of_kind = {f: F.array_compact(F.array(*(tried(r) for r in rules if r.files == f))) for f in dict.fromkeys(r.files for r in rules)}
+    found = None
+    for files_of, hits in of_kind.items():
+        found = F.when(F.col("path").rlike(files_of), hits) if found is None else found.when(F.col("path").rlike(files_of), hits)
+    lines = files.filter(F.col("path").isNotNull()).select("scope_id", "path", F.posexplode(F.split("content", r"\r\n|\n|\r")).alias("at", "text")).filter((F.length(line) > 3) & ~line.rlike(COMMENT))
+    return lines.select("scope_id", "path", (F.col("at") + 1).alias("line"), F.explode(found).alias("f")).select("scope_id", "path", "line", "f.*")
 
 
 def findings_sql(files: str, rules: list[Rule] = RULES) -> str:
